@@ -28,12 +28,12 @@ from clausework.llm.common import mix64, table, utf8
 from clausework.llm.near_dedup import folded, pieces_of
 
 LEAST = 0.8
-REPETITIONS, STEPS, SAMPLED = 4, 32, 10
+REPETITIONS, STEPS, SAMPLED = 4, 56, 16
 #: Items shorter than STEPS signs are sampled in the first SHORT_STEPS steps.
 SHORT_STEPS, SHORT_SAMPLED = 10, 5
 BLOCK, PIECE = 1 << 22, 1 << 20
 #: After so many sampled signs, windows are held against the items' windows, and the size of those tables.
-LOOKS, TABLE_BITS = (3, 5, 7), 20
+LOOKS, TABLE_BITS = (3, 5, 7, 10), 20
 
 
 def squeezed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
