@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausework.llm.common import mix64, stage, table, utf8
@@ -356,6 +356,16 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return out.select(*[f"row.`{c}`" for c in cols], "cut.kept", "cut.n_removed", "cut.spans")
 
 
+def whole_characters(kept: Column) -> Column:
+    """Text of bytes that were cut; what is left of a character cut in two goes."""
+
+    @F.arrow_udf("string")
+    def text(raw: pa.Array) -> pa.Array:
+        return pa.array([(x.as_py() or b"").decode("utf-8", "ignore") for x in raw], pa.string())
+
+    return text(kept)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select(
