@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausework.llm.common import mix64, stage, table, utf8
@@ -42,6 +42,8 @@ BUCKET, PIECE, KEPT = 1 << 24, 1 << 20, 1 << 19
 #: A difference cover: every distance modulo 13 is one of two members.
 PERIOD, COVER, NAMED = 13, (0, 1, 3, 9), 24
 PLACE_BITS = 24
+#: Where a packed place holds the number of the text among those of one id.
+VARIANT = 43
 
 RECORDS = "bucket int, gram binary, around binary, doc binary, place binary"
 FOUND = "kind int, block int, doc binary, place binary, gram binary"
@@ -95,10 +97,14 @@ def packed(at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = place >> 12
+    at = place_of(place)
     return at, at - (place >> 6 & 63), at - (place & 63)
 
 
+def place_of(place: np.ndarray) -> np.ndarray:
+    return place >> 12 & (1 << VARIANT - 12) - 1
+
+
 def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
     return ((gram >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -129,7 +135,7 @@ def record_batches(buckets: int):
             return batch([(k, *cols) for k, cols in dealt(bucket_of(gram, buckets), [gram, around, doc, place])], RECORDS)
 
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, variant = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "variant"))
             data, offsets = utf8(b.column("text"))
             for lo, hi in pieces_of(offsets, PIECE):
                 off = offsets[lo : hi + 1] - offsets[lo]
@@ -142,7 +148,7 @@ def record_batches(buckets: int):
                 for k in range(near.shape[1]):
                     around = around * np.uint64(0x9E3779B97F4A7C15) + near[:, k]
                     around ^= around >> np.uint64(31)
-                held.append((gram, mix64(around), ids[lo + row], packed(at - off[row], first - off[row], last - off[row])))
+                held.append((gram, mix64(around), ids[lo + row], packed(at - off[row], first - off[row], last - off[row]) | variant[lo + row] << VARIANT))
                 if sum(len(x[0]) for x in held) >= KEPT:
                     yield sent()
         if held:
@@ -200,14 +206,15 @@ def by_document(rows: pa.Table) -> pa.Table:
     """The rows of a block as one row for each document."""
     doc, place = joined(rows.column("doc"), np.int64), joined(rows.column("place"), np.int64)
     gram = joined(rows.column("gram"), np.uint64)
-    order = np.argsort(doc, kind="stable")
+    order = np.lexsort((place >> VARIANT, doc))
     doc, place = doc[order], place[order]
     gram = gram[order] if len(gram) else None
-    cuts = np.append(np.flatnonzero(first_of_runs(doc)), len(doc))
+    cuts = np.append(np.flatnonzero(first_of_runs(doc, place >> VARIANT)), len(doc))
     spans = [(lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
     return pa.table(
         {
             "doc_id": pa.array(doc[cuts[:-1]], pa.int64()),
+            "variant": pa.array((place >> VARIANT)[cuts[:-1]], pa.int64()),
             "place": pa.array([place[lo:hi].tobytes() for lo, hi in spans], pa.binary()),
             "gram": pa.array([gram[lo:hi].tobytes() if gram is not None else b"" for lo, hi in spans], pa.binary()),
         }
@@ -229,7 +236,7 @@ def asked_batches(buckets: int):
             data, offsets = utf8(b.column("text"))
             for i, (d, p, g) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("place"), b.column("gram"), strict=True)):
                 text, place = data[offsets[i] : offsets[i + 1]], np.frombuffer(p.as_py(), np.int64)
-                at = place >> 12
+                at = place_of(place)
                 near = surroundings(text, at, np.zeros(len(at), np.int64), np.full(len(at), len(text)))
                 held.append((np.frombuffer(g.as_py(), np.uint64), np.full(len(at), d, np.int64), place, near))
             if sum(len(x[0]) for x in held) >= KEPT // 8:
@@ -287,7 +294,7 @@ def resolved(blocks: int):
         edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         row, near_end = np.nonzero(edge == 1)
         far_end = np.nonzero(edge == -1)[1] - 1
-        place = (place[row] >> 12) << 12 | far_end << 6 | near_end
+        place = (place[row] >> 12) << 12 | far_end << 6 | near_end  # keeps the variant
         out = [(0, k, *cols, b"") for k, cols in dealt(block_of(doc[row], blocks), [doc[row], place])]
         return pa.Table.from_batches([batch(out, FOUND)])
 
@@ -338,18 +345,21 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     docs = df.select(F.struct(*cols).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.withColumn("copy", F.unhex(F.md5("text")))
     known = docs.where("doc_id is not null").groupBy("doc_id", "copy").agg(F.max(F.octet_length("text")).alias("size"))
-    known = stage(known, "known")
-    firsts = stage(known.groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size")).where(f"size >= {LENGTH}"), "firsts")
+    # An id with several texts has a number for each.
+    variant = F.row_number().over(Window.partitionBy("doc_id").orderBy("copy")).cast("long") - 1
+    known = stage(known.withColumn("variant", variant), "known")
+    firsts = known.groupBy("copy").agg(F.min(F.struct("doc_id", "variant")).alias("first"), F.max("size").alias("size")).where(f"size >= {LENGTH}")
+    firsts = stage(firsts.select("copy", "first.*", "size"), "firsts")
     buckets = max(8, -(-(firsts.agg(F.sum("size")).first()[0] or 0) // BUCKET))
     texts = docs.select("doc_id", "copy", "text").where(F.octet_length("text") >= LENGTH)
-    reps = stage(texts.join(firsts.select("copy", "doc_id").hint("shuffle_hash"), ["copy", "doc_id"], "left_semi").select("doc_id", "text"), "reps")
+    reps = stage(texts.join(firsts.select("copy", "doc_id", "variant").hint("shuffle_hash"), ["copy", "doc_id"]).select("doc_id", "variant", "text"), "reps")
     found = stage(reps.mapInArrow(record_batches(buckets), RECORDS).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(matched(buckets), FOUND), "found")
-    by_doc = "doc_id long, place binary, gram binary"
+    by_doc = "doc_id long, variant long, place binary, gram binary"
     asked = found.where("kind = 1").groupBy("block").applyInArrow(by_document, by_doc)
-    around = reps.join(asked.hint("shuffle_hash"), "doc_id").mapInArrow(asked_batches(buckets), ASKED)
+    around = reps.join(asked.hint("shuffle_hash"), ["doc_id", "variant"]).mapInArrow(asked_batches(buckets), ASKED)
     sorted_ = stage(around.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(resolved(buckets), FOUND), "sorted")
     places = found.where("kind = 0").unionByName(sorted_).groupBy("block").applyInArrow(by_document, by_doc)
-    places = places.join(firsts.select("doc_id", "copy"), "doc_id").select("doc_id", "copy", "place", F.lit(False).alias("again"))
+    places = places.join(firsts.select("doc_id", "variant", "copy"), ["doc_id", "variant"]).select("doc_id", "copy", "place", F.lit(False).alias("again"))
     again = known.join(firsts.select("copy", F.col("doc_id").alias("first")), "copy").where("doc_id > first")
     told = stage(places.unionByName(again.select("doc_id", "copy", F.lit(None).cast("binary").alias("place"), F.lit(True).alias("again"))), "told")
     out = docs.join(told.hint("shuffle_hash"), ["doc_id", "copy"], "left").withColumn("cut", F.arrow_udf(cut, CUT)("text", F.coalesce("again", F.lit(False)), "place"))
