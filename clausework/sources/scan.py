@@ -140,14 +140,14 @@ def version(html: Column, sha256: Column) -> Column:
 
 
 def documents(spark: SparkSession, path: str, pattern: str = "*.html") -> DataFrame:
-    """Raw documents under a folder: path, content, document_sha256, byte_length, and a reason to reject (null: sound)."""
+    """Raw documents under a folder: path, content, document_sha256, byte_length, and a reason to reject (null: sound). Files of no bytes never leave the scan."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return raw.select(
         "path",
         "content",
         F.sha2("content", 256).alias("document_sha256"),
         F.length("content").cast("long").alias("byte_length"),
-        F.when(F.length("content") == 0, "empty").when(~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8").alias("rejected"),
+        F.when(~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8").alias("rejected"),
     )
 
 
