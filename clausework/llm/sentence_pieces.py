@@ -32,7 +32,8 @@ MODEL, BLANK = "piece_bpe_32k.model", "▁"
 #: Words and arcs in the kept lattices; beyond, they are built anew.
 UNITS, ARCS = 250_000, 6_000_000
 WORDS = re.compile(r" *[^ ]+| +")
-TINY = 1e-200
+#: Of the hash of a piece's beginning.
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
@@ -49,9 +50,18 @@ class Pieces:
         names = {i: model.id_to_piece(i) for i in range(n)}
         log = {i: -math.log(2 - s) if ranked else s for i, s in scores.items()}
         self.weight = {names[i].replace(BLANK, " "): (i, math.exp(alpha * log[i])) for i in plain}
-        self.longest = max(map(len, self.weight))
-        self.prefixes = {p[:k] for p in self.weight for k in range(1, len(p) + 1)}
         assert not any(" " in p.lstrip(" ") for p in self.weight), "pieces that cross blanks need another cut"
+        # By length, the hashes of all beginnings of pieces; for each the piece that it is (-1: only a beginning) and its log weight.
+        self.levels = []
+        for k in range(1, max(map(len, self.weight)) + 1):
+            heads = sorted({p[:k] for p in self.weight if len(p) >= k})
+            hashes = np.zeros(len(heads), np.uint64)
+            letters = np.frombuffer("".join(heads).encode("utf-32-le"), np.uint32).reshape(len(heads), k)
+            for j in range(k):
+                hashes = hashes * BASE + letters[:, j] + np.uint64(1)
+            order = np.argsort(hashes)
+            found = [self.weight.get(heads[i]) for i in order]
+            self.levels.append((hashes[order], np.array([f[0] if f else -1 for f in found], np.int32), np.array([math.log(f[1]) if f else 0.0 for f in found])))
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_weight = math.exp(alpha * min(log.values())) if not ranked else (n + 2.0) ** -alpha
         spoken = [b""] * n
@@ -65,49 +75,71 @@ class Pieces:
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
-        #: Of each word its last node; of each node its first arc; of each arc the probability up to it, the node before (-1: none), its piece (below 0: a character as bytes).
+        #: Of each word its last node; of each node its first arc; of each arc the probability up to it, the node before (-1: none), its piece (below 0: a letter as bytes, -1 - its code).
         self.last, self.first, self.upto, self.before, self.piece = array("i"), array("i"), array("d"), array("i"), array("i")
-        self.chars: list[str] = []
-
-    def add(self, word: str) -> int:
-        """Filter a word's lattice forward and keep it."""
-        n, get, prefixes = len(word), self.weight.get, self.prefixes
-        total, arcs = [1.0] + [0.0] * n, [[] for _ in range(n + 1)]
-        for s in range(n):
-            here = total[s]
-            if here < TINY:
-                for e in range(s, min(n, s + self.longest) + 1):
-                    total[e] /= TINY
-                    arcs[e] = [(a, p, w / TINY) for a, p, w in arcs[e]]
-                here = total[s]
-            e = s + 1
-            while e <= n:
-                part = word[s:e]
-                if part not in prefixes:
-                    break
-                if found := get(part):
-                    w = here * found[1]
-                    arcs[e].append((s, found[0], w))
-                    total[e] += w
-                e += 1
-            if get(word[s]) is None:
-                w = here * self.byte_weight ** len(word[s].encode())
-                self.chars.append(word[s])
-                arcs[s + 1].append((s, -len(self.chars), w))
-                total[s + 1] += w
-        base = len(self.first) - 1
-        for e in range(1, n + 1):
-            self.first.append(len(self.upto))
-            sum_, whole = 0.0, total[e]
-            for s, p, w in arcs[e]:
-                sum_ += w
-                self.upto.append(sum_ / whole)
-                self.before.append(base + s if s else -1)
-                self.piece.append(p)
-            self.upto[-1] = 2.0
-        self.last.append(base + n)
-        self.index[word] = at = len(self.last) - 1
-        return at
+
+    def arcs(self, letters: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Start, length, piece and log weight of every arc of the lattices; room: letters from each place to its word's end."""
+        at, h, out = np.arange(len(letters)), np.zeros(len(letters), np.uint64), []
+        for k, (hashes, piece, weight) in enumerate(self.levels, 1):
+            if k > 1:
+                fits = room[at] >= k
+                at, h = at[fits], h[fits]
+            h = h * BASE + letters[at + k - 1] + np.uint64(1)
+            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            known = hashes[place] == h
+            if k == 1:
+                odd = np.ones(len(at), bool)
+                odd[at[known & (piece[place] >= 0)]] = False
+                odd = np.flatnonzero(odd)
+                code = letters[odd].astype(np.int64)
+                size = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+                out.append((odd, np.ones(len(odd), np.int64), (-1 - code).astype(np.int32), size * math.log(self.byte_weight)))
+            at, h, place = at[known], h[known], place[known]
+            whole = piece[place] >= 0
+            out.append((at[whole], np.full(int(whole.sum()), k), piece[place[whole]], weight[place[whole]]))
+            if not len(at):
+                break
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def add(self, words: list[str]) -> None:
+        """Filter the lattices of new words forward, all of them a place at a time, and keep them. A node is the end of a letter."""
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        size = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(size)
+        begin = np.repeat(ends - size, size)
+        start, length, piece, weight = self.arcs(letters, np.repeat(ends, size) - np.arange(len(letters)))
+        node = start + length - 1
+        depth = node - begin[node]
+        order = np.argsort(depth * np.int64(len(letters)) + node, kind="stable")
+        start, piece, weight, node, depth = start[order], piece[order], weight[order], node[order], depth[order]
+        before = np.where(start == begin[start], -1, start - 1)
+        total, chance = np.zeros(len(letters)), np.empty(len(node))
+        lead = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        arcs_of = np.diff(np.append(lead, len(node)))
+        steps = np.searchsorted(depth, np.arange(int(size.max()) + 1))
+        heads = np.searchsorted(lead, steps)
+        for lo, hi, x, y in zip(steps[:-1], steps[1:], heads[:-1], heads[1:], strict=True):
+            back = before[lo:hi]
+            sum_ = weight[lo:hi] + np.where(back >= 0, total[back], 0.0)
+            first, many = lead[x:y] - lo, arcs_of[x:y]
+            most = np.maximum.reduceat(sum_, first)
+            share = np.exp(sum_ - np.repeat(most, many))
+            whole = np.add.reduceat(share, first)
+            total[node[lead[x:y]]] = most + np.log(whole)
+            chance[lo:hi] = share / np.repeat(whole, many)
+        upto = np.cumsum(chance) - np.repeat(np.arange(len(lead)), arcs_of)
+        upto[np.append(lead[1:], len(node)) - 1] = 2.0
+        nodes, kept = len(self.first), len(self.upto)
+        first = np.empty(len(letters), np.int32)
+        first[node[lead]] = lead + kept
+        self.first.frombytes(first.tobytes())
+        self.upto.frombytes(upto.tobytes())
+        self.before.frombytes(np.where(before >= 0, before + nodes, -1).astype(np.int32).tobytes())
+        self.piece.frombytes(piece.astype(np.int32).tobytes())
+        number = len(self.last)
+        self.last.frombytes((ends - 1 + nodes).astype(np.int32).tobytes())
+        self.index.update(zip(words, range(number, number + len(words)), strict=True))
 
     def encode(self, texts: list[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts end to end, and the n + 1 offsets into them."""
@@ -117,7 +149,9 @@ class Pieces:
         for t in texts:
             found = WORDS.findall(f" {t}") if t else []
             sizes.append(len(found))
-            units += [index[w] if w in index else self.add(w) for w in found]
+            units += found
+        if new := set(units).difference(index):
+            self.add(list(new))
         sizes = np.array(sizes, np.int64)
         row = np.repeat(np.arange(len(texts)), sizes)
         place = np.arange(len(units)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -125,7 +159,7 @@ class Pieces:
         last, first = np.frombuffer(self.last, np.int32), np.frombuffer(self.first, np.int32)
         upto, before, piece = np.frombuffer(self.upto), np.frombuffer(self.before, np.int32), np.frombuffer(self.piece, np.int32)
         who = np.arange(len(units))
-        node = last[np.array(units, np.int64)] if len(units) else np.zeros(0, np.int32)
+        node = last[np.fromiter(map(index.__getitem__, units), np.int64, len(units))]
         taken, number, step = [], np.zeros(len(units), np.int64), 0
         while len(who):
             draw = (mix64(salt[who] ^ np.uint64(step * 0xD1B54A32D192ED03 % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
@@ -147,7 +181,7 @@ class Pieces:
         length = np.ones(len(out), np.int64)
         odd = np.flatnonzero(out < 0)
         if len(odd):
-            coded = [np.array([self.bytes[b] for b in self.chars[-1 - c].encode()]) for c in out[odd]]
+            coded = [np.array([self.bytes[b] for b in chr(-1 - c).encode()]) for c in out[odd]]
             length[odd] = [len(c) for c in coded]
             start = np.cumsum(length) - length
             wide = np.repeat(out, length)
