@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clausework.functions import similarity, text as T
 from clausework.operators import align, classify, definitions as D, lineage, scoring, verify
 from clausework.plans import clauses as C, diff
-from clausework.sources import markup, scan
+from clausework.sources import adapters, markup, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -402,3 +402,40 @@ def evidence_inventory(spark, d):
 
 
 SQL["evidence_inventory"] = "select cast(doc_id as string) as ref, case when doc_id % 70 = 0 then 'unlisted' else 'changed' end as problem from documents where doc_id % 70 = 0 or doc_id % 50 = 0"
+
+
+@query()
+def adapted_blocks(spark, d):
+    """Blocks of the pages by their family's adapter, furniture removed."""
+    pages = t(spark, d, "pages").select("page_id", "html", scan.family(F.col("html")).alias("document_family"))
+    return adapters.explode_adapted(pages).drop("spans")
+
+
+@query()
+def page_definitions(spark, d):
+    pages = t(spark, d, "pages").select(F.sha2("html", 256).alias("document_sha256"), F.col("page_id").cast("string").alias("document_version"), "html")
+    return D.definitions(pages)
+
+
+@query()
+def lineage_nodes(spark, d):
+    """First and last version of every lineage in the chained clause corpus, with the number of its instances."""
+    reqs, versions = chained(spark, d)
+    edges, _, seeded = diff.chain(reqs, versions)
+    return lineage.nodes(lineage.instances(edges, seeded, versions), versions)
+
+
+# Page identities stand for a manifest's records; every ninth is repeated.
+@query("select page_id % 9 as source_id, count(*) as copies from pages group by 1 having count(*) > 1")
+def manifest_duplicates(spark, d):
+    return scoring.duplicates(t(spark, d, "pages").select((F.col("page_id") % 9).alias("source_id")), "source_id")
+
+
+@query("select round(avg(p), 4) as precision, round(avg(r), 4) as recall from (select round(tp * 1.0 / (tp + fp), 4) as p, round(tp * 1.0 / (tp + fn), 4) as r from " + COUNTS + ")")
+def macro_average(spark, d):
+    return scoring.macro(scoring.with_metrics(confusion_counts(spark, d)), "precision", "recall")
+
+
+@query("select phase, bool_and(passed) as passed, count(*) as gates from (" + SQL["gate_verdicts"] + ") group by phase")
+def phase_verdicts(spark, d):
+    return scoring.phases(gate_verdicts(spark, d))

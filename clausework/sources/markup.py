@@ -9,6 +9,7 @@ each document, so a corpus is one narrow stage.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -193,11 +194,12 @@ def block_text(element: Node) -> tuple[str, list[tuple[int, int]]]:
     return text, spans
 
 
-def blocks(html: str | bytes | None) -> list[dict]:
-    """Blocks of a document; never fails on bad markup."""
+def blocks(html: str | bytes | None, prepare: Callable[[Node], Node] | None = None) -> list[dict]:
+    """Blocks of a document; never fails on bad markup. prepare: what is done to the tree before."""
     if not html:
         return []
     tree = parse(html.decode("utf-8", "replace") if isinstance(html, bytes) else html)
+    tree = prepare(tree) if prepare else tree
     body = tree.find("body")
     root = body[0] if body else tree
     path: list[tuple[int, str]] = []
