@@ -431,11 +431,6 @@ def manifest_duplicates(spark, d):
     return scoring.duplicates(t(spark, d, "pages").select((F.col("page_id") % 9).alias("source_id")), "source_id")
 
 
-@query("select round(avg(p), 4) as precision, round(avg(r), 4) as recall from (select round(tp * 1.0 / (tp + fp), 4) as p, round(tp * 1.0 / (tp + fn), 4) as r from " + COUNTS + ")")
-def macro_average(spark, d):
-    return scoring.macro(scoring.with_metrics(confusion_counts(spark, d)), "precision", "recall")
-
-
 @query("select phase, bool_and(passed) as passed, count(*) as gates from (" + SQL["gate_verdicts"] + ") group by phase")
 def phase_verdicts(spark, d):
     return scoring.phases(gate_verdicts(spark, d))
