@@ -37,8 +37,10 @@ LENGTH, GRAM = 50, 16
 #: Grams of a window; bytes before and from the gram's start that its windows reach.
 REACH = LENGTH - GRAM
 SPAN = REACH + LENGTH
+#: Partitions that the buckets are dealt to, at most; each works on its buckets one at a time.
+PARTITIONS = 20_000
 #: Text that one bucket stands for, text worked on at once, and records kept back before they are sent.
-BUCKET, PIECE, KEPT = 1 << 24, 1 << 20, 1 << 19
+BUCKET, PIECE, KEPT = 1 << 22, 1 << 18, 1 << 17
 #: A difference cover: every distance modulo 13 is one of two members.
 PERIOD, COVER, NAMED = 13, (0, 1, 3, 9), 24
 PLACE_BITS = 24
@@ -57,9 +59,13 @@ def words(data: np.ndarray, order: str) -> np.ndarray:
 
 def surroundings(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """SPAN bytes around each gram, zero beyond its document; 4 bytes more for whole words."""
-    where = at[:, None] + np.arange(-REACH, LENGTH + 4)
-    inside = (where >= first[:, None]) & (where < np.minimum(last, at + LENGTH)[:, None])
-    return np.where(inside, data[np.clip(where, 0, len(data) - 1)], 0).astype(np.uint8)
+    out = np.empty((len(at), SPAN + 4), np.uint8)
+    for lo in range(0, len(at), 1 << 13):
+        here = slice(lo, lo + (1 << 13))
+        where = at[here, None] + np.arange(-REACH, LENGTH + 4)
+        inside = (where >= first[here, None]) & (where < np.minimum(last[here], at[here] + LENGTH)[:, None])
+        out[here] = np.where(inside, data[np.clip(where, 0, len(data) - 1)], 0)
+    return out
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -351,13 +357,14 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     firsts = known.groupBy("copy").agg(F.min(F.struct("doc_id", "variant")).alias("first"), F.max("size").alias("size")).where(f"size >= {LENGTH}")
     firsts = stage(firsts.select("copy", "first.*", "size"), "firsts")
     buckets = max(8, -(-(firsts.agg(F.sum("size")).first()[0] or 0) // BUCKET))
+    parts = min(buckets, PARTITIONS)
     texts = docs.select("doc_id", "copy", "text").where(F.octet_length("text") >= LENGTH)
     reps = stage(texts.join(firsts.select("copy", "doc_id", "variant").hint("shuffle_hash"), ["copy", "doc_id"]).select("doc_id", "variant", "text"), "reps")
-    found = stage(reps.mapInArrow(record_batches(buckets), RECORDS).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(matched(buckets), FOUND), "found")
+    found = stage(reps.mapInArrow(record_batches(buckets), RECORDS).repartition(parts, "bucket").groupBy("bucket").applyInArrow(matched(buckets), FOUND), "found")
     by_doc = "doc_id long, variant long, place binary, gram binary"
     asked = found.where("kind = 1").groupBy("block").applyInArrow(by_document, by_doc)
     around = reps.join(asked.hint("shuffle_hash"), ["doc_id", "variant"]).mapInArrow(asked_batches(buckets), ASKED)
-    sorted_ = stage(around.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(resolved(buckets), FOUND), "sorted")
+    sorted_ = stage(around.repartition(parts, "bucket").groupBy("bucket").applyInArrow(resolved(buckets), FOUND), "sorted")
     places = found.where("kind = 0").unionByName(sorted_).groupBy("block").applyInArrow(by_document, by_doc)
     places = places.join(firsts.select("doc_id", "variant", "copy"), ["doc_id", "variant"]).select("doc_id", "copy", "place", F.lit(False).alias("again"))
     again = known.join(firsts.select("copy", F.col("doc_id").alias("first")), "copy").where("doc_id > first")
