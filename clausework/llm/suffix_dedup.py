@@ -47,9 +47,9 @@ PLACE_BITS = 24
 #: Where a packed place holds the number of the text among those of one id.
 VARIANT = 43
 
-RECORDS = "bucket int, gram binary, around binary, doc binary, place binary"
-FOUND = "kind int, block int, doc binary, place binary, gram binary"
-ASKED = "bucket int, gram binary, doc binary, place binary, bytes binary"
+RECORDS = "bucket int, gram binary, around binary, doc binary, place binary, span binary"
+FOUND = "kind int, block int, doc binary, place binary, span binary, gram binary"
+ASKED = "bucket int, gram binary, doc binary, place binary, span binary, bytes binary"
 
 
 def words(data: np.ndarray, order: str) -> np.ndarray:
@@ -111,6 +111,18 @@ def place_of(place: np.ndarray) -> np.ndarray:
     return place >> 12 & (1 << VARIANT - 12) - 1
 
 
+def runs(gram: np.ndarray, around: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First of each run of records that are equal and at most LENGTH bytes apart in one text, and how far the run's last one lies.
+
+    Texts that repeat a word or a sign give one record and not one for each repetition. What goes
+    from a run goes from all its places, and as they lie so close, the bytes between go too.
+    """
+    same = (gram[1:] == gram[:-1]) & (around[1:] == around[:-1]) & (row[1:] == row[:-1]) & (np.diff(at) <= LENGTH)
+    head = np.flatnonzero(np.concatenate([[True], ~same]))
+    last = np.append(head[1:], len(at)) - 1
+    return head, at[last] - at[head]
+
+
 def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
     return ((gram >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -136,9 +148,9 @@ def record_batches(buckets: int):
         held: list[tuple[np.ndarray, ...]] = []
 
         def sent() -> pa.RecordBatch:
-            gram, around, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            gram, around, doc, place, span = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return batch([(k, *cols) for k, cols in dealt(bucket_of(gram, buckets), [gram, around, doc, place])], RECORDS)
+            return batch([(k, *cols) for k, cols in dealt(bucket_of(gram, buckets), [gram, around, doc, place, span])], RECORDS)
 
         for b in batches:
             ids, variant = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "variant"))
@@ -154,7 +166,10 @@ def record_batches(buckets: int):
                 for k in range(near.shape[1]):
                     around = around * np.uint64(0x9E3779B97F4A7C15) + near[:, k]
                     around ^= around >> np.uint64(31)
-                held.append((gram, mix64(around), ids[lo + row], packed(at - off[row], first - off[row], last - off[row]) | variant[lo + row] << VARIANT))
+                around = mix64(around)
+                head, span = runs(gram, around, row, at)
+                gram, around, row, at, first, last = (x[head] for x in (gram, around, row, at, first, last))
+                held.append((gram, around, ids[lo + row], packed(at - off[row], first - off[row], last - off[row]) | variant[lo + row] << VARIANT, span))
                 if sum(len(x[0]) for x in held) >= KEPT:
                     yield sent()
         if held:
@@ -183,16 +198,16 @@ def matched(blocks: int):
     """Step 2: kind 0, runs of repeated windows; kind 1, places whose bytes are asked for."""
 
     def run(rows: pa.Table) -> pa.Table:
-        gram, around, doc, place = (joined(rows.column(c), k) for c, k in (("gram", np.uint64), ("around", np.uint64), ("doc", np.int64), ("place", np.int64)))
+        gram, around, doc, place, span = (joined(rows.column(c), k) for c, k in (("gram", np.uint64), ("around", np.uint64), ("doc", np.int64), ("place", np.int64), ("span", np.int64)))
         order = np.argsort(gram, kind="stable")
         lead = first_of_runs(gram[order])
         start = np.flatnonzero(lead)
         d = doc[order]
         shared = np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start) if len(d) else lead[:0]
         order = order[shared[np.cumsum(lead) - 1]] if len(d) else order
-        gram, around, doc, place = gram[order], around[order], doc[order], place[order]
+        gram, around, doc, place, span = (x[order] for x in (gram, around, doc, place, span))
         order = np.lexsort((doc, around, gram))
-        gram, around, doc, place = gram[order], around[order], doc[order], place[order]
+        gram, around, doc, place, span = (x[order] for x in (gram, around, doc, place, span))
         by_gram, by_both = first_of_runs(gram), first_of_runs(gram, around)
         kinds = np.bincount(np.cumsum(by_gram)[by_both] - 1) if len(gram) else np.zeros(0, np.int64)
         smallest = doc[np.maximum.accumulate(np.where(by_both, np.arange(len(doc)), 0))] if len(doc) else doc
@@ -200,9 +215,9 @@ def matched(blocks: int):
         ask = ~repeat & (kinds[np.cumsum(by_gram) - 1] > 1) if len(doc) else repeat
         out = []
         for kind, chosen in ((0, repeat), (1, ask)):
-            out += [(kind, k, *cols) for k, cols in dealt(block_of(doc[chosen], blocks), [doc[chosen], place[chosen], gram[chosen]])]
+            out += [(kind, k, *cols) for k, cols in dealt(block_of(doc[chosen], blocks), [doc[chosen], place[chosen], span[chosen], gram[chosen]])]
         if out:
-            out = [(k, b, dd, p, g if k else b"") for k, b, dd, p, g in out]
+            out = [(k, b, dd, p, w, g if k else b"") for k, b, dd, p, w, g in out]
         return pa.Table.from_batches([batch(out, FOUND)])
 
     return run
@@ -210,10 +225,10 @@ def matched(blocks: int):
 
 def by_document(rows: pa.Table) -> pa.Table:
     """The rows of a block as one row for each document."""
-    doc, place = joined(rows.column("doc"), np.int64), joined(rows.column("place"), np.int64)
+    doc, place, span = (joined(rows.column(c), np.int64) for c in ("doc", "place", "span"))
     gram = joined(rows.column("gram"), np.uint64)
     order = np.lexsort((place >> VARIANT, doc))
-    doc, place = doc[order], place[order]
+    doc, place, span = doc[order], place[order], span[order]
     gram = gram[order] if len(gram) else None
     cuts = np.append(np.flatnonzero(first_of_runs(doc, place >> VARIANT)), len(doc))
     spans = [(lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -222,6 +237,7 @@ def by_document(rows: pa.Table) -> pa.Table:
             "doc_id": pa.array(doc[cuts[:-1]], pa.int64()),
             "variant": pa.array((place >> VARIANT)[cuts[:-1]], pa.int64()),
             "place": pa.array([place[lo:hi].tobytes() for lo, hi in spans], pa.binary()),
+            "span": pa.array([span[lo:hi].tobytes() for lo, hi in spans], pa.binary()),
             "gram": pa.array([gram[lo:hi].tobytes() if gram is not None else b"" for lo, hi in spans], pa.binary()),
         }
     )
@@ -234,17 +250,17 @@ def asked_batches(buckets: int):
         held: list[tuple[np.ndarray, ...]] = []
 
         def sent() -> pa.RecordBatch:
-            gram, doc, place, near = (np.concatenate(x) for x in zip(*held, strict=True))
+            gram, doc, place, span, near = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return batch([(k, *cols) for k, cols in dealt(bucket_of(gram, buckets), [gram, doc, place, near])], ASKED)
+            return batch([(k, *cols) for k, cols in dealt(bucket_of(gram, buckets), [gram, doc, place, span, near])], ASKED)
 
         for b in batches:
             data, offsets = utf8(b.column("text"))
-            for i, (d, p, g) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("place"), b.column("gram"), strict=True)):
+            for i, (d, p, w, g) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("place"), b.column("span"), b.column("gram"), strict=True)):
                 text, place = data[offsets[i] : offsets[i + 1]], np.frombuffer(p.as_py(), np.int64)
                 at = place_of(place)
                 near = surroundings(text, at, np.zeros(len(at), np.int64), np.full(len(at), len(text)))
-                held.append((np.frombuffer(g.as_py(), np.uint64), np.full(len(at), d, np.int64), place, near))
+                held.append((np.frombuffer(g.as_py(), np.uint64), np.full(len(at), d, np.int64), place, np.frombuffer(w.as_py(), np.int64), near))
             if sum(len(x[0]) for x in held) >= KEPT // 8:
                 yield sent()
         if held:
@@ -294,24 +310,24 @@ def resolved(blocks: int):
     """Step 3: sort the suffixes of a bucket; kind 0 rows for its repeated windows."""
 
     def run(rows: pa.Table) -> pa.Table:
-        gram, doc, place = (joined(rows.column(c), k) for c, k in (("gram", np.uint64), ("doc", np.int64), ("place", np.int64)))
+        gram, doc, place, span = (joined(rows.column(c), k) for c, k in (("gram", np.uint64), ("doc", np.int64), ("place", np.int64), ("span", np.int64)))
         near = joined(rows.column("bytes"), np.uint8).reshape(len(gram), SPAN + 4)
         hit = sorted_windows(gram, doc, place, near)
         edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         row, near_end = np.nonzero(edge == 1)
         far_end = np.nonzero(edge == -1)[1] - 1
         place = (place[row] >> 12) << 12 | far_end << 6 | near_end  # keeps the variant
-        out = [(0, k, *cols, b"") for k, cols in dealt(block_of(doc[row], blocks), [doc[row], place])]
+        out = [(0, k, *cols, b"") for k, cols in dealt(block_of(doc[row], blocks), [doc[row], place, span[row]])]
         return pa.Table.from_batches([batch(out, FOUND)])
 
     return run
 
 
-def union(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def union(place: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that the windows cover."""
     _, a, b = unpacked(place)
     order = np.argsort(a, kind="stable")
-    a, b = a[order], b[order] + LENGTH
+    a, b = a[order], (b + span)[order] + LENGTH
     reach = np.maximum.accumulate(b)
     new = np.concatenate([[True], a[1:] > reach[:-1]])
     return a[new], reach[np.append(np.flatnonzero(new)[1:], len(a)) - 1]
@@ -320,14 +336,14 @@ def union(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 CUT = "struct<kept binary, n_removed long, spans array<struct<start: long, end: long>>>"
 
 
-def cut(texts: pa.Array, copies: pa.Array, places: pa.Array) -> pa.Array:
+def cut(texts: pa.Array, copies: pa.Array, places: pa.Array, lengths: pa.Array) -> pa.Array:
     kept, gone, spans = [], [], []
-    for t, copy, p in zip(texts, copies.to_pylist(), places, strict=True):
+    for t, copy, p, w in zip(texts, copies.to_pylist(), places, lengths, strict=True):
         raw, p = (t.as_py() or "").encode(), p.as_py()
         if copy and len(raw) >= LENGTH:
             a, b = np.array([0]), np.array([len(raw)])
         elif p:
-            a, b = union(np.frombuffer(p, np.int64))
+            a, b = union(np.frombuffer(p, np.int64), np.frombuffer(w.as_py(), np.int64))
         else:
             kept.append(raw)
             gone.append(0)
@@ -361,15 +377,15 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     texts = docs.select("doc_id", "copy", "text").where(F.octet_length("text") >= LENGTH)
     reps = stage(texts.join(firsts.select("copy", "doc_id", "variant").hint("shuffle_hash"), ["copy", "doc_id"]).select("doc_id", "variant", "text"), "reps")
     found = stage(reps.mapInArrow(record_batches(buckets), RECORDS).repartition(parts, "bucket").groupBy("bucket").applyInArrow(matched(buckets), FOUND), "found")
-    by_doc = "doc_id long, variant long, place binary, gram binary"
+    by_doc = "doc_id long, variant long, place binary, span binary, gram binary"
     asked = found.where("kind = 1").groupBy("block").applyInArrow(by_document, by_doc)
     around = reps.join(asked.hint("shuffle_hash"), ["doc_id", "variant"]).mapInArrow(asked_batches(buckets), ASKED)
     sorted_ = stage(around.repartition(parts, "bucket").groupBy("bucket").applyInArrow(resolved(buckets), FOUND), "sorted")
     places = found.where("kind = 0").unionByName(sorted_).groupBy("block").applyInArrow(by_document, by_doc)
-    places = places.join(firsts.select("doc_id", "variant", "copy"), ["doc_id", "variant"]).select("doc_id", "copy", "place", F.lit(False).alias("again"))
+    places = places.join(firsts.select("doc_id", "variant", "copy"), ["doc_id", "variant"]).select("doc_id", "copy", "place", "span", F.lit(False).alias("again"))
     again = known.join(firsts.select("copy", F.col("doc_id").alias("first")), "copy").where("doc_id > first")
-    told = stage(places.unionByName(again.select("doc_id", "copy", F.lit(None).cast("binary").alias("place"), F.lit(True).alias("again"))), "told")
-    out = docs.join(told.hint("shuffle_hash"), ["doc_id", "copy"], "left").withColumn("cut", F.arrow_udf(cut, CUT)("text", F.coalesce("again", F.lit(False)), "place"))
+    told = stage(places.unionByName(again.select("doc_id", "copy", *[F.lit(None).cast("binary").alias(c) for c in ("place", "span")], F.lit(True).alias("again"))), "told")
+    out = docs.join(told.hint("shuffle_hash"), ["doc_id", "copy"], "left").withColumn("cut", F.arrow_udf(cut, CUT)("text", F.coalesce("again", F.lit(False)), "place", "span"))
     return out.select(*[f"row.`{c}`" for c in cols], "cut.kept", "cut.n_removed", "cut.spans")
 
 
