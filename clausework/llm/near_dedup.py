@@ -30,7 +30,7 @@ from clausework.llm.common import mix64, stage, table, utf8
 SHINGLE, LEAST = 5, 0.8
 SKETCHES, ELL = 12, 2
 #: Bytes of text that are hashed at once; a longer document is one piece.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 BASE = 0x9E3779B97F4A7C15 | 1
 MAXIMUM = np.uint64(0xFFFFFFFFFFFFFFFF)

@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from clausework.llm.token_counts import tokenizer_file
 MODEL, BLANK = "piece_bpe_32k.model", "▁"
 #: Words and arcs in the kept lattices; beyond, they are built anew.
 UNITS, ARCS = 250_000, 6_000_000
+#: Words whose lattices are filtered together.
+ADDED = 16_384
 WORDS = re.compile(r" *[^ ]+| +")
 #: Of the hash of a piece's beginning.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -150,8 +153,9 @@ class Pieces:
             found = WORDS.findall(f" {t}") if t else []
             sizes.append(len(found))
             units += found
-        if new := set(units).difference(index):
-            self.add(list(new))
+        new = list(set(units).difference(index))
+        for a in range(0, len(new), ADDED):
+            self.add(new[a : a + ADDED])
         sizes = np.array(sizes, np.int64)
         row = np.repeat(np.arange(len(texts)), sizes)
         place = np.arange(len(units)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -220,9 +224,12 @@ def encode(text: Column, key: Column, alpha: float = 1.0, seed: int = 3, name: s
     """Column of piece ids, array<int>: a segmentation sampled by the row's key. Null and empty texts have none."""
 
     @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        out, offsets = pieces(tokenizer_file(name, folder), alpha).encode(texts.to_pylist(), keys.to_numpy(zero_copy_only=False))
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
+    def ids(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        model = pieces(tokenizer_file(name, folder), alpha)
+        for texts, keys in batches:
+            out, offsets = model.encode(texts.to_pylist(), keys.to_numpy(zero_copy_only=False))
+            yield pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
+        model.reset()  # a worker outlives its task, and the next stage needs the room
 
     return ids(text, F.xxhash64(F.lit(seed), key))
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ SAMPLE_PER_CLASS = 3000
 #: Features at most, and the documents that a feature needs.
 FEATURES, MIN_DOCS = 20_000, 3
 PREFIXES = (4, 5, 6, 7)
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 
 SENTENCES, WORDS = re.compile(r"[.!?\n\r]+"), re.compile(r"[^\W\d_]+")
 
@@ -138,9 +139,11 @@ def score(df: DataFrame, model: Model, text: str = "text", into: str = "score")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def scores(texts: pa.Array) -> pa.Array:
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        return pa.array([model.score(x.as_py()) for x in texts], pa.float64())
+        for texts in batches:
+            yield pa.array([model.score(x.as_py()) for x in texts], pa.float64())
+        model.clear()  # a worker outlives its task, and the next stage needs the room
 
     return df.withColumn(into, scores(F.col(text)))
 
