@@ -41,6 +41,8 @@ SPAN = REACH + LENGTH
 PARTITIONS = 20_000
 #: Text that one bucket stands for, text worked on at once, and records kept back before they are sent.
 BUCKET, PIECE, KEPT = 1 << 22, 1 << 18, 1 << 17
+#: Records whose windows are sorted at once; one gram's are not parted.
+SORTED = 1 << 14
 #: A difference cover: every distance modulo 13 is one of two members.
 PERIOD, COVER, NAMED = 13, (0, 1, 3, 9), 24
 PLACE_BITS = 24
@@ -272,14 +274,10 @@ def asked_batches(buckets: int):
 def sorted_windows(gram: np.ndarray, doc: np.ndarray, place: np.ndarray, near: np.ndarray) -> np.ndarray:
     """For each record and window distance 0 to REACH: does the window also start in a smaller document?"""
     n = len(gram)
-    flat = np.append(near.ravel(), np.zeros(8, np.uint8))
-    width = near.shape[1]
-    at_row = np.arange(n) * width
     cover = [p for p in range(SPAN - NAMED + 1) if p % PERIOD in COVER]
-    parts = [words(flat, ">")] if n else []
 
     def word(p: int) -> np.ndarray:
-        return parts[0][at_row + p]
+        return np.ascontiguousarray(near[:, p : p + 8]).view(">u8")[:, 0].astype(np.uint64)
 
     # Ranks of the cover's strings, over all of them at once.
     names: dict[int, np.ndarray] = {}
@@ -312,7 +310,15 @@ def resolved(blocks: int):
     def run(rows: pa.Table) -> pa.Table:
         gram, doc, place, span = (joined(rows.column(c), k) for c, k in (("gram", np.uint64), ("doc", np.int64), ("place", np.int64), ("span", np.int64)))
         near = joined(rows.column("bytes"), np.uint8).reshape(len(gram), SPAN + 4)
-        hit = sorted_windows(gram, doc, place, near)
+        # A few grams at a time: only windows of one gram are compared.
+        order = np.argsort(gram, kind="stable")
+        gram, doc, place, span, near = gram[order], doc[order], place[order], span[order], near[order]
+        lead = np.append(np.flatnonzero(first_of_runs(gram)), len(gram))
+        hit, lo = np.zeros((len(gram), REACH + 1), bool), 0
+        while lo < len(gram):
+            hi = int(lead[min(np.searchsorted(lead, lo + SORTED), len(lead) - 1)])
+            hit[lo:hi] = sorted_windows(gram[lo:hi], doc[lo:hi], place[lo:hi], near[lo:hi])
+            lo = hi
         edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         row, near_end = np.nonzero(edge == 1)
         far_end = np.nonzero(edge == -1)[1] - 1
