@@ -9,11 +9,15 @@ the band that a similarity of `least` leaves; pairs from `least` on are links, a
 connected components of the links.
 
 Scale: equal texts are one representative from the start (an aggregation with partial sums), so a
-huge group of copies costs one row. In a bucket everyone is held against the smallest member, and
-again in buckets refined by the next sketch, so a bucket of b rows gives at most b pairs of each
-kind; a pair missed in one bucket has the other sketches. Leaders come from an aggregation, never
-from a bucket gathered in one task, and joins to them can be split by the engine. Links and
-components stay distributed; every round of the components is written to the shared folder.
+huge group of copies costs one row. In a bucket everyone is first held against the smallest member,
+and again in buckets refined by the next sketch, so that a large class costs a pair a row. What is
+left are the pairs of a bucket whose members are still in different components: these are all
+compared, as a bucket's leader may be like neither of two that are alike. A histogram of the
+shingles bounds what two documents can have in common, so most pairs go without their texts; it
+never drops a pair that is alike. Leaders come from an aggregation, never from a bucket gathered in
+one task, and the joins can be split by the engine. A bucket of documents that are alike in a
+passage only still costs a comparison of histograms for each of its pairs. Links and components stay
+distributed; every round of the components is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ SHINGLE, LEAST = 5, 0.8
 SKETCHES, ELL = 12, 2
 #: Bytes of text that are hashed at once; a longer document is one piece.
 PIECE = 1 << 19
+#: Counts in a document's histogram of shingles.
+BINS = 256
 
 BASE = 0x9E3779B97F4A7C15 | 1
 MAXIMUM = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -154,18 +160,44 @@ def pieces_of(offsets: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int
         a = min(b, n)
 
 
+def histograms(grams: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
+    """How many shingles of each text have each first byte, one byte each; None where a count does not fit."""
+    n = len(offsets) - 1
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    count = np.bincount(owner * BINS + (grams >> np.uint64(56)).astype(np.int64), minlength=n * BINS).reshape(n, BINS)
+    fits = count.max(axis=1) < 256 if n else np.zeros(0, bool)
+    return [c.tobytes() if f else None for c, f in zip(count.astype(np.uint8), fits, strict=True)]
+
+
+def possible(least: float):
+    """Column function: whether two histograms leave room for a similarity of `least`."""
+
+    @F.arrow_udf("boolean")
+    def possible_(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = np.ones(len(x), bool)
+        both = np.flatnonzero(~np.asarray(x.is_null()) & ~np.asarray(y.is_null()))
+        left, right = (np.frombuffer(b"".join(c.take(pa.array(both)).to_pylist()), np.uint8).reshape(-1, BINS) for c in (x, y))
+        total = left.sum(axis=1, dtype=np.int64) + right.sum(axis=1, dtype=np.int64)
+        common = np.minimum(left, right).sum(axis=1, dtype=np.int64)
+        out[both] = common >= np.ceil(least * total / (1 + least) - 1e-9)
+        return pa.array(out)
+
+    return possible_
+
+
 def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = utf8(b.column("text"))
-        number, keys = np.zeros(b.num_rows, np.int64), [None] * b.num_rows
+        number, keys, bins = np.zeros(b.num_rows, np.int64), [None] * b.num_rows, []
         for lo, hi in pieces_of(offsets):
             off = offsets[lo : hi + 1]
             grams, at = shingles(*word_hashes(data[off[0] : off[-1]], off - off[0]))
             number[lo:hi] = np.diff(at)
+            bins += histograms(grams, at)
             found = sketches(grams, at).view(np.int64).tolist()
             for row, key in zip(np.flatnonzero(np.diff(at) > 0), found, strict=True):
                 keys[lo + row] = key
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copy"), pa.array(number), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "copy", "n", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copy"), pa.array(number), pa.array(keys, pa.list_(pa.int64())), pa.array(bins, pa.binary())], names=["doc_id", "copy", "n", "keys", "bins"])
 
 
 def banded_lcs(a: list[int], b: list[int], least: int) -> int:
@@ -252,6 +284,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
 
 
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs a, b of different components."""
+    for c in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """One row for each row of df: doc_id, class_id (smallest id of its class), n_links (different texts that it is linked to), kept (it is its class's first).
 
@@ -261,24 +300,49 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     hashed = docs.withColumn("copy", F.unhex(F.md5("text")))
     # Sketches are a scan without a shuffle; from here on only they move, until texts are verified.
-    sketched = stage(hashed.mapInArrow(sketch_batches, "doc_id long, copy binary, n long, keys array<long>"), "sketches")
-    firsts = sketched.where("doc_id is not null").groupBy("copy").agg(F.min(F.struct("doc_id", "n", "keys")).alias("first")).select("copy", "first.*")
+    sketched = stage(hashed.mapInArrow(sketch_batches, "doc_id long, copy binary, n long, keys array<long>, bins binary"), "sketches")
+    firsts = sketched.where("doc_id is not null").groupBy("copy").agg(F.min(F.struct("doc_id", "n", "keys", "bins")).alias("first")).select("copy", "first.*")
     firsts = stage(firsts, "firsts")
+    can = possible(least)
+    close = F.least("n", "lead.n") >= F.lit(least) * F.greatest("n", "lead.n")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs a, b whose texts are alike."""
+        wanted = pairs.select(F.col("b").alias("doc_id"), "a").unionByName(pairs.select(F.col("a").alias("doc_id"), "a").distinct())
+        wanted = wanted.join(firsts.select("doc_id", F.col("copy").alias("first_copy")), "doc_id")
+        texts = stage(hashed.join(wanted, "doc_id").where("copy = first_copy").select("a", "doc_id", "text"), "texts")
+        left = stage(texts.where("a = doc_id").select("a", F.col("text").alias("x")).dropDuplicates(["a"]), "leading")
+        right = texts.where("a <> doc_id").select("a", F.col("doc_id").alias("b"), F.col("text").alias("y"))
+        found = right.join(left, "a").withColumn("alike", alike(least)("x", "y")).where(F.col("alike") >= least)
+        return stage(found.select("a", "b").distinct(), "links")
+
     single = F.transform("keys", lambda k, i: F.xxhash64(i, k))
     double = F.transform("keys", lambda k, i: F.xxhash64(i + SKETCHES, k, F.element_at("keys", F.pmod(i + 1, F.lit(SKETCHES)) + 1)))
     rows = firsts.where("keys is not null").select("doc_id", "n", F.explode(F.concat(single, double)).alias("key"))
     # Written, so that the join below is one of two plain shuffles, whose large partitions the engine can split.
     leaders = stage(rows.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", "lead"), "leaders")
-    pairs = rows.join(leaders, "key").where("lead.doc_id < doc_id").where(F.least("n", "lead.n") >= F.lit(least) * F.greatest("n", "lead.n"))
-    pairs = stage(pairs.select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("b").alias("doc_id"), "a").unionByName(pairs.select(F.col("a").alias("doc_id"), "a").distinct())
-    wanted = wanted.join(firsts.select("doc_id", F.col("copy").alias("first_copy")), "doc_id")
-    texts = stage(hashed.join(wanted, "doc_id").where("copy = first_copy").select("a", "doc_id", "text"), "texts")
-    left = stage(texts.where("a = doc_id").select("a", F.col("text").alias("x")).dropDuplicates(["a"]), "leading")
-    right = texts.where("a <> doc_id").select("a", F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    links = stage(right.join(left, "a").withColumn("alike", alike(least)("x", "y")).where(F.col("alike") >= least).select("a", "b", "alike"), "links")
-    links = links.dropDuplicates(["a", "b"])
+    pairs = rows.join(leaders, "key").where("lead.doc_id < doc_id").where(close)
+    links = verified(stage(pairs.select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs"))
     roots = components(links)
+
+    # Pairs that share a sketch and are in no common class yet, each in the bucket of their first common sketch.
+    sides = firsts.where("keys is not null").select("doc_id", "n", "keys", "bins").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    sides = stage(sides.withColumn("root", F.coalesce("root", "doc_id")), "sides")
+    member = sides.select("doc_id", "root", F.posexplode("keys").alias("i", "key"))
+    open_ = stage(member.groupBy("i", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("i", "key"), "open")
+    inside = stage(sides.select("*", F.posexplode("keys").alias("i", "key")).join(open_, ["i", "key"]), "inside")
+    x, y = inside.alias("x"), inside.alias("y")
+    fits = (F.col("x.i") == F.col("y.i")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
+    fits &= F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n")
+    for j in range(SKETCHES - 1):
+        fits &= (F.col("x.i") <= j) | (F.col("x.keys")[j] != F.col("y.keys")[j])
+    rest = x.join(y, fits).where(can("x.bins", "y.bins")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    rest = stage(rest.distinct(), "rest")
+    # One partner each first, so that a large class among the rest does not cost all its pairs.
+    for every in (False, True):
+        left_over = stage(apart(rest, roots), "apart")
+        links = stage(links.unionByName(verified(left_over if every else left_over.groupBy("b").agg(F.min("a").alias("a")))).distinct(), "links")
+        roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = (
         firsts.select("copy", F.col("doc_id").alias("node"))

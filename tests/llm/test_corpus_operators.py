@@ -230,6 +230,40 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == want
 
 
+def test_near_duplicates_that_share_a_template(spark):
+    rng = random.Random(2)
+    template, texts = prose(rng, 170), []
+    for _ in range(60):
+        own = prose(rng, 24)
+        texts.append(f"{template} {own}")
+    texts += [edited(rng, t, 0.025) for t in texts[20:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+    grams = [near_dedup.grams_of(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if near_dedup.similarity(grams[i], grams[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert len(set(root)) == 84
+    assert got == dict(enumerate(root))
+
+
+def test_histograms_never_drop_a_pair_that_is_alike(spark):
+    rng = random.Random(22)
+    base = prose(rng, 200)
+    texts = [base, *[edited(rng, base, r / 400) for r in range(12)], prose(rng, 200), "word " * 3000, "word " * 3001]
+    data, off = utf8(pa.array(texts))
+    bins = near_dedup.histograms(*near_dedup.shingles(*near_dedup.word_hashes(data, off)))
+    assert bins[-1] is None
+    pairs = [(i, j, bins[i], bins[j]) for i in range(len(texts)) for j in range(i)]
+    df = spark.createDataFrame(pairs, "i int, j int, x binary, y binary").withColumn("can", near_dedup.possible(0.8)("x", "y"))
+    grams = [near_dedup.grams_of(t) for t in texts]
+    can = {(r["i"], r["j"]): r["can"] for r in df.collect()}
+    assert all(can[i, j] for i, j in can if near_dedup.similarity(grams[i], grams[j]) >= 0.8) and not can[13, 0]
+
+
 def test_near_duplicates_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     rows = near_dedup.near_duplicates(df).collect()
