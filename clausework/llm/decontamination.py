@@ -2,12 +2,14 @@
 
 The CGK walk reads a string and, after each step, moves on by one sign or stays, as a random bit
 for (step, sign) says. Strings at a small edit distance soon walk in step again, so edit distance
-becomes Hamming distance between walks. A repetition has its own bits and samples SAMPLED of the
-walk's steps; equal samples make a candidate. Windows of an item's size start at every word: of the
-item's text and of every document. The sampled steps lie in the walk's first STEPS (about STEPS / 2
+becomes Hamming distance between walks. A repetition has its own bits and samples some of the walk's
+steps; equal samples make a candidate. Windows of an item's size start at every word: of the item's
+text and of every document. The sampled steps lie in the walk's first ones (about half as many
 signs), as walks part for good after many edits; an item has as many windows as words, and one
-window with a clean start is enough, which is where the recall comes from. Each candidate places the
-whole item at one point of the document, and the item is then aligned there exactly: a document is
+window with a clean start is enough, which is where the recall comes from. Steps, sampled steps and
+repetitions go by an item's length (LEVELS). Each candidate places the whole item at one point of
+the document. Since an edit destroys at most q grams of q signs, a place with too few of the item's
+grams holds no hit and goes; elsewhere the item is aligned exactly: a document is
 contaminated by an item if the edit distance of some part of it is at most (1 - least) of the item's
 length, on folded text (letters in lower case, runs of other ASCII signs one blank).
 
@@ -28,9 +30,11 @@ from clausework.llm.common import mix64, table, utf8
 from clausework.llm.near_dedup import folded, pieces_of
 
 LEAST = 0.8
-REPETITIONS, STEPS, SAMPLED = 4, 56, 16
-#: Items shorter than STEPS signs are sampled in the first SHORT_STEPS steps.
-SHORT_STEPS, SHORT_SAMPLED = 10, 5
+#: For items of so many signs or more: steps, sampled steps and repetitions. Short items have few windows, so each must hit more easily.
+LEVELS = ((0, 10, 5, 8), (56, 28, 12, 8), (130, 44, 15, 8))
+STEPS = max(steps for _, steps, _, _ in LEVELS)
+#: Lengths of the grams by which candidates are screened before alignment, and slots of an item's table of them.
+GRAMS, SLOTS = (3, 4), 1 << 12
 BLOCK, PIECE = 1 << 22, 1 << 20
 #: After so many sampled signs, windows are held against the items' windows, and the size of those tables.
 LOOKS, TABLE_BITS = (3, 5, 7, 10), 20
@@ -54,6 +58,15 @@ def word_starts(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(letter & first)
 
 
+def gram_slots(text: np.ndarray, q: int) -> np.ndarray:
+    """A slot for each run of q signs."""
+    n = max(0, len(text) - q + 1)
+    key = np.zeros(n, np.uint64)
+    for j in range(q):
+        key = key << np.uint64(8) | text[j : j + n]
+    return (mix64(key) % np.uint64(SLOTS)).astype(np.int64)
+
+
 class Walk:
     """One repetition: random bits, and the sampled steps."""
 
@@ -98,10 +111,34 @@ class Items:
             for j, c in enumerate(item):
                 where[c] = where.get(c, 0) | 1 << j
             self.patterns.append(where)
+        self.grams = {}
         self.levels = []
-        for steps, sampled, chosen in ((STEPS, SAMPLED, [k for k, t in enumerate(self.text) if len(t) >= STEPS]), (SHORT_STEPS, SHORT_SAMPLED, [k for k, t in enumerate(self.text) if len(t) < STEPS])):
+        above = [low for low, _, _, _ in LEVELS[1:]] + [float("inf")]
+        for (low, steps, sampled, repetitions), high in zip(LEVELS, above, strict=True):
+            chosen = [k for k, t in enumerate(self.text) if low <= len(t) < high]
             if chosen:
-                self.levels += [self.level(Walk(r, steps, sampled), chosen, steps) for r in range(REPETITIONS)]
+                self.levels += [self.level(Walk(r, steps, sampled), chosen, steps) for r in range(repetitions)]
+
+    def known_grams(self, k: int, q: int) -> np.ndarray:
+        """Which slots the item's grams of q signs fall into."""
+        if (k, q) not in self.grams:
+            table = np.zeros(SLOTS, bool)
+            table[gram_slots(np.frombuffer(self.text[k], np.uint8), q)] = True
+            self.grams[k, q] = np.packbits(table)
+        return np.unpackbits(self.grams[k, q])
+
+    def room(self, k: int, slots: dict[int, np.ndarray], a: int, b: int, allowed: int) -> bool:
+        """Whether some part of a..b has the grams that a hit of item k keeps after `allowed` edits."""
+        n = len(self.text[k])
+        for q in GRAMS:
+            need, width = n - q + 1 - q * allowed, n + allowed - q + 1
+            if need <= 0:
+                continue
+            total = np.cumsum(np.append(np.uint8(0), self.known_grams(k, q)[slots[q][a : max(a, b - q + 1)]]), dtype=np.int64)
+            most = (total[width:] - total[:-width]).max() if len(total) > width else total[-1]
+            if most < need:
+                return False
+        return True
 
     def level(self, walk: Walk, chosen: list[int], steps: int) -> tuple:
         joined = np.frombuffer(b"".join(self.text[k] + b" " for k in chosen) + bytes(steps), np.uint8)
@@ -177,6 +214,7 @@ class Items:
             for k, d, a, b in set(zip(item.tolist(), r.tolist(), np.maximum(place - slack, off[r]).tolist(), np.minimum(place + size + slack, off[r + 1]).tolist(), strict=True)):
                 if b - a >= self.least * len(self.text[k]):
                     spans.setdefault((d, k), []).append((a, b))
+        slots = {q: gram_slots(text, q) for q in GRAMS}
         out = []
         for (d, k), found in spans.items():
             allowed, best, upto = int((1 - self.least) * len(self.text[k]) + 1e-9), None, []
@@ -186,6 +224,8 @@ class Items:
                 else:
                     upto.append([a, b])
             for a, b in upto:
+                if not self.room(k, slots, a, b, allowed):
+                    continue
                 e = self.distance(k, text[a:b].tobytes())
                 if e <= allowed and (best is None or e < best):
                     best = e

@@ -155,6 +155,39 @@ def test_decontamination_recall_and_precision(spark):
     assert decontamination.contaminated(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("size", [20, 40, 60, 75, 100, 130, 200, 300])
+def test_recall_at_the_threshold_for_every_length(size):
+    rng, found, wanted = random.Random(23), 0, 0
+    for _ in range(120):
+        items = decontamination.Items([(1, prose(rng, 80)[:size])], 0.8)
+        chars = list(items.text[0].decode())
+        for _ in range(len(chars) // 5):
+            at = rng.randrange(len(chars))
+            chars[at : at + 1] = rng.choice([[], [rng.choice("abcdefgh")], [chars[at], rng.choice("abcdefgh")]])
+        raw = f"{prose(rng, 40)} {''.join(chars)} {prose(rng, 40)}".encode()
+        text = decontamination.squeezed(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        if items.distance(0, text.tobytes()) <= len(items.text[0]) // 5:
+            wanted += 1
+            hits = items.hits(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            found += len(hits) == 1
+    assert wanted > 60 and found >= 0.9 * wanted, (found, wanted)
+
+
+def test_gram_screen_never_drops_a_hit():
+    rng = random.Random(24)
+    for _ in range(300):
+        items = decontamination.Items([(1, prose(rng, rng.randint(2, 40)))], 0.8)
+        n = len(items.text[0])
+        allowed = int(0.2 * n + 1e-9)
+        chars = list(items.text[0])
+        for _ in range(rng.randint(0, allowed)):
+            chars[rng.randrange(len(chars))] = rng.choice(b"abcxyz ")
+        text = np.frombuffer(prose(rng, 9).encode() + b" " + bytes(chars) + b" " + prose(rng, 9).encode(), np.uint8)
+        slots = {q: decontamination.gram_slots(text, q) for q in decontamination.GRAMS}
+        if items.distance(0, text.tobytes()) <= allowed:
+            assert items.room(0, slots, 0, len(text), allowed)
+
+
 def test_blocks_of_the_benchmark(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK", 200)
     rng = random.Random(5)
