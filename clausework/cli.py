@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausework.operators import definitions, verify
+from clausework.operators import definitions, lineage, verify
 from clausework.operators.extract import extract
 from clausework.plans import diff
 from clausework.sources import scan
@@ -82,8 +82,8 @@ def command(args: argparse.Namespace) -> int:
         return int(bool(problems))
     elif args.command == "lineage":
         docs = load(spark, args.paths).withColumn("standard", F.lit("spec"))
-        edges, _, _ = diff.chain(extract(docs, args.profile), docs.select("standard", "seq", "document_sha256", "document_version"))
-        out = {"edges": rows(edges.orderBy("step", "edge_id"))}
+        edges, links, _ = diff.chain(extract(docs, args.profile), docs.select("standard", "seq", "document_sha256", "document_version"), definitions.definitions(docs))
+        out = {"edges": rows(edges.orderBy("step", "edge_id")), "ambiguity": rows(lineage.ambiguity(links).orderBy("item_id"))}
     else:
         docs = load(spark, [args.old, args.new]).withColumn("pair", F.lit(0))
         defs = definitions.definitions(docs).join(docs.select("document_sha256", "seq", "pair"), "document_sha256")

@@ -88,6 +88,21 @@ def test_lineage(spark):
     assert firsts == {"0": 4, "1": 1}
 
 
+def test_chain_with_definitions(spark):
+    old = "<p id=x><dfn>Access token</dfn> is a secret.</p><p>Clients MUST guard each access token.</p><p>Servers SHOULD log failures.</p>"
+    docs = pages(spark, old, old.replace("a secret", "an opaque secret"))
+    versions = spark.createDataFrame([("spec", i, f"s{i}", str(i)) for i in range(2)], "standard string, seq int, document_sha256 string, document_version string")
+    edges, links, seeded = diff.chain(extract(docs), versions, definitions.definitions(docs))
+    rows = edges.collect()
+    assert sorted(r["relation"] for r in rows) == ["CONTINUES", "CONTINUES", "DEFINITION_CHANGED", "DEPENDS_ON", "REFERENCES_DEFINITION"]
+    assert all((r["to_version"], r["step"]) == ("1", 0) for r in rows)
+    by = {r["relation"]: r for r in rows}
+    assert by["DEFINITION_CHANGED"]["term"] == "Access token"
+    assert by["DEPENDS_ON"]["from_lineage_id"] == by["REFERENCES_DEFINITION"]["from_lineage_id"]
+    assert lineage.violations(edges, lineage.instances(edges, seeded, versions)).count() == 0
+    assert lineage.ambiguity(links).count() == 0
+
+
 def test_definitions(spark):
     old = "<p id=x><dfn>Access token</dfn> is a secret.</p><p>Clients MUST guard each access token.</p>"
     new = old.replace("a secret", "an opaque secret") + "<p><dfn>Vault</dfn> stores it.</p>"
