@@ -42,9 +42,10 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    hits = stage(contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "hits")
-    return docs.join(hits, "doc_id", "left_anti")
+    """Rows that hold a passage of the benchmark go, with or without an id; another text of the same id stays."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    hits = contaminated(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return keyed.join(stage(hits.select(F.col("doc_id").alias("_key")).distinct(), "hits"), "_key", "left_anti").select(*docs.columns)
 
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

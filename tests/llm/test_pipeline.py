@@ -65,6 +65,15 @@ def test_stages(spark, corpus):
         docs = spark.createDataFrame(out.collect(), out.schema)
 
 
+def test_contaminated_rows_without_an_id_or_with_a_repeated_one(spark, corpus):
+    folder, texts, _ = corpus
+    bench = spark.read.parquet(f"{folder}/benchmark.parquet").first()["text"]
+    rows = [(None, f"some {bench} more"), (None, texts[0]), (7, texts[1]), (7, bench), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.drop_contaminated(spark, docs, folder)
+    assert {(r["doc_id"], r["text"]) for r in left.collect()} == {(None, texts[0]), (7, texts[1]), (8, None)}
+
+
 def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, corpus[0])
     got = {r["doc_id"] for r in out.collect()}
