@@ -10,13 +10,16 @@ connected components of the links.
 
 Scale: equal texts are one representative from the start (an aggregation with partial sums), so a
 huge group of copies costs one row. In a bucket everyone is first held against the smallest member,
-and again in buckets refined by the next sketch, so that a large class costs a pair a row. What is
-left are the pairs of a bucket whose members are still in different components: these are all
-compared, as a bucket's leader may be like neither of two that are alike. A histogram of the
-shingles bounds what two documents can have in common, so most pairs go without their texts; it
-never drops a pair that is alike. Leaders come from an aggregation, never from a bucket gathered in
-one task, and the joins can be split by the engine. A bucket of documents that are alike in a
-passage only still costs a comparison of histograms for each of its pairs. Links and components stay
+and again in buckets refined by the next sketch, so that a large class costs a pair a row. A bucket
+whose members are then still in different components is open: its leader may be like neither of two
+that are alike. Buckets are not compared pair by pair, which would grow with the square of the
+documents that share a template. Instead all documents of open buckets are joined exactly: every
+document shows only the rarest of its labelled shingles, as many as it cannot do without in a pair
+that is alike (a fifth at 0.8, a ninth for the shorter document), and documents that show a common one
+are a candidate if the rest after it can still be enough. A template's shingles are frequent, so they
+are not shown but by documents that are little else. No pair that is alike is lost in this step,
+whatever the order is. Then a histogram of the shingles bounds what two documents can have in common
+(it never drops a pair that is alike), and what is left is aligned. Links and components stay
 distributed; every round of the components is written to the shared folder.
 """
 
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausework.llm.common import mix64, stage, table, utf8
+from clausework.llm.common import mix64, prepare, stage, table, utf8
 
 SHINGLE, LEAST = 5, 0.8
 SKETCHES, ELL = 12, 2
@@ -37,6 +40,8 @@ SKETCHES, ELL = 12, 2
 PIECE = 1 << 19
 #: Counts in a document's histogram of shingles.
 BINS = 256
+#: Slots in which shingles are counted, to tell frequent ones: the table is as large whatever the input.
+SLOT_BITS = 16
 
 BASE = 0x9E3779B97F4A7C15 | 1
 MAXIMUM = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -188,16 +193,72 @@ def possible(least: float):
 def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = utf8(b.column("text"))
-        number, keys, bins = np.zeros(b.num_rows, np.int64), [None] * b.num_rows, []
+        number, keys = np.zeros(b.num_rows, np.int64), [None] * b.num_rows
         for lo, hi in pieces_of(offsets):
             off = offsets[lo : hi + 1]
             grams, at = shingles(*word_hashes(data[off[0] : off[-1]], off - off[0]))
             number[lo:hi] = np.diff(at)
-            bins += histograms(grams, at)
             found = sketches(grams, at).view(np.int64).tolist()
             for row, key in zip(np.flatnonzero(np.diff(at) > 0), found, strict=True):
                 keys[lo + row] = key
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copy"), pa.array(number), pa.array(keys, pa.list_(pa.int64())), pa.array(bins, pa.binary())], names=["doc_id", "copy", "n", "keys", "bins"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copy"), pa.array(number), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "copy", "n", "keys"])
+
+
+def gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Pieces of batches with the shingles of their texts."""
+    for b in batches:
+        data, offsets = utf8(b.column("text"))
+        for lo, hi in pieces_of(offsets):
+            off = offsets[lo : hi + 1]
+            yield b.slice(lo, hi - lo), *shingles(*word_hashes(data[off[0] : off[-1]], off - off[0]))
+
+
+def slot_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many labelled shingles fall into each slot, one table a task."""
+    total = np.zeros(1 << SLOT_BITS, np.int64)
+    for _, grams, at in gram_batches(batches):
+        total += np.bincount(slot_of(labelled(grams, at)), minlength=len(total))
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "number"])
+
+
+def shown(count: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many of its rarest shingles a text of so many shows to longer texts, and to shorter ones."""
+    below = lambda x: np.ceil(x * count - 1e-9).astype(np.int64)
+    return count - below(2 * least / (1 + least)) + 1, count - below(least) + 1
+
+
+def shown_tokens(usual: np.ndarray, least: float):
+    """Batch function: a row for each shingle that a text shows, with its rank by rarity, and the text's histogram at rank 0 (nulls elsewhere)."""
+
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, grams, at in gram_batches(batches):
+            x, count = labelled(grams, at), np.diff(at)
+            owner = np.repeat(np.arange(len(count)), count)
+            order = np.lexsort((x, usual[slot_of(x)], owner))
+            rank = np.arange(len(x)) - at[owner]
+            few, many = shown(count, least)
+            keep = np.flatnonzero(rank < many[owner])
+            doc, rank, token = owner[keep], rank[keep], x[order][keep]
+            bins = histograms(grams, at)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("node").take(pa.array(doc)),
+                    b.column("root").take(pa.array(doc)),
+                    pa.array(token.view(np.int64)),
+                    pa.array(count[doc].astype(np.int32)),
+                    pa.array(rank.astype(np.int32)),
+                    pa.array(rank < few[doc]),
+                    pa.array([bins[d] if r == 0 else None for d, r in zip(doc.tolist(), rank.tolist(), strict=True)], pa.binary()),
+                ],
+                names=["node", "root", "token", "n", "rank", "few", "bins"],
+            )
+
+    return show
 
 
 def banded_lcs(a: list[int], b: list[int], least: int) -> int:
@@ -265,23 +326,30 @@ def alike(least: float):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root of the connected components of edges (a, b): large-star and small-star by turns, each round written out, until nothing changes."""
-    hi, lo = F.greatest("a", "b"), F.least("a", "b")
-    now = stage(edges.where("a <> b").select(hi.alias("u"), lo.alias("v")).distinct(), "edges")
-    before = None
+    """node, root of the connected components of edges (a, b): large-star and small-star by turns, each round written out, until every node has one root and no root has one."""
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        kept = now.join(least, "u").select("u", F.col("m").alias("v")).where("u <> v")
-        star = stage(large.unionByName(kept).distinct(), "star")
-        least = stage(star.groupBy("u").agg(F.min("v").alias("m")), "least")
+        star = large.unionByName(now.join(least, "u").select("u", F.col("m").alias("v")).where("u <> v")).distinct()
+        least = star.groupBy("u").agg(F.min("v").alias("m"))
         small = star.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
         now = stage(small, "edges")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
+        seen = now.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if seen.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = mark
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root after more links a, b: the components of the roots, and the nodes' roots brought up to date."""
+    old = links
+    for c in ("a", "b"):
+        old = old.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    above = components(old.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    moved = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    # Roots that have a root now are nodes too; so are nodes that no link had before.
+    return stage(moved.unionByName(above.join(roots.select("node"), "node", "left_anti")), "roots")
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -291,67 +359,114 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """One row for each row of df: doc_id, class_id (smallest id of its class), n_links (different texts that it is linked to), kept (it is its class's first).
+def text_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """One row for each text of docs (doc_id long, text, copy): copy, class_id, keeper_id, keeper_copy.
 
-    Equal texts are one class, null counting as empty; texts without a word have no other partners.
-    Rows of one id are one document. A null id takes part in no class. Other columns are left out.
+    class_id is the smallest id of the text's class (null if no row of it has one); the keeper is the
+    class's first row by id (null last), then by copy. copy is the text's 16-byte hash.
     """
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    hashed = docs.withColumn("copy", F.unhex(F.md5("text")))
     # Sketches are a scan without a shuffle; from here on only they move, until texts are verified.
-    sketched = stage(hashed.mapInArrow(sketch_batches, "doc_id long, copy binary, n long, keys array<long>, bins binary"), "sketches")
-    firsts = sketched.where("doc_id is not null").groupBy("copy").agg(F.min(F.struct("doc_id", "n", "keys", "bins")).alias("first")).select("copy", "first.*")
-    firsts = stage(firsts, "firsts")
-    can = possible(least)
+    sketched = stage(docs.mapInArrow(sketch_batches, "doc_id long, copy binary, n long, keys array<long>"), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "keys")).alias("first")
+    # Texts are numbered once, as they are written: short names that are unique whatever the ids are.
+    firsts = stage(sketched.groupBy("copy").agg(first).select("copy", "first.*").withColumn("node", F.monotonically_increasing_id()), "firsts")
     close = F.least("n", "lead.n") >= F.lit(least) * F.greatest("n", "lead.n")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """The rows of nodes (node and others) with their texts."""
+        named = nodes.join(firsts.select("node", F.col("doc_id").alias("first_id"), F.col("copy").alias("first_copy")), "node")
+        found = docs.select("doc_id", "copy", "text").join(named, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("copy") == F.col("first_copy")))
+        return found.select(*nodes.columns, "text").dropDuplicates(nodes.columns)
+
+    def verified(pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
         """The pairs a, b whose texts are alike."""
-        wanted = pairs.select(F.col("b").alias("doc_id"), "a").unionByName(pairs.select(F.col("a").alias("doc_id"), "a").distinct())
-        wanted = wanted.join(firsts.select("doc_id", F.col("copy").alias("first_copy")), "doc_id")
-        texts = stage(hashed.join(wanted, "doc_id").where("copy = first_copy").select("a", "doc_id", "text"), "texts")
-        left = stage(texts.where("a = doc_id").select("a", F.col("text").alias("x")).dropDuplicates(["a"]), "leading")
-        right = texts.where("a <> doc_id").select("a", F.col("doc_id").alias("b"), F.col("text").alias("y"))
+        wanted = pairs.select(F.col("b").alias("node"), "a").unionByName(pairs.select(F.col("a").alias("node"), "a").distinct())
+        texts = stage(texts_of(wanted) if texts is None else wanted.join(texts, "node"), "texts")
+        left = texts.where("a = node").select("a", F.col("text").alias("x"))
+        right = texts.where("a <> node").select("a", F.col("node").alias("b"), F.col("text").alias("y"))
         found = right.join(left, "a").withColumn("alike", alike(least)("x", "y")).where(F.col("alike") >= least)
         return stage(found.select("a", "b").distinct(), "links")
 
     single = F.transform("keys", lambda k, i: F.xxhash64(i, k))
     double = F.transform("keys", lambda k, i: F.xxhash64(i + SKETCHES, k, F.element_at("keys", F.pmod(i + 1, F.lit(SKETCHES)) + 1)))
-    rows = firsts.where("keys is not null").select("doc_id", "n", F.explode(F.concat(single, double)).alias("key"))
+    rows = firsts.where("keys is not null").select("node", "n", F.explode(F.concat(single, double)).alias("key"))
     # Written, so that the join below is one of two plain shuffles, whose large partitions the engine can split.
-    leaders = stage(rows.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", "lead"), "leaders")
-    pairs = rows.join(leaders, "key").where("lead.doc_id < doc_id").where(close)
-    links = verified(stage(pairs.select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs"))
+    leaders = stage(rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", "lead"), "leaders")
+    pairs = rows.join(leaders, "key").where("lead.node < node").where(close)
+    links = verified(stage(pairs.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs"))
     roots = components(links)
 
-    # Pairs that share a sketch and are in no common class yet, each in the bucket of their first common sketch.
-    sides = firsts.where("keys is not null").select("doc_id", "n", "keys", "bins").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    sides = stage(sides.withColumn("root", F.coalesce("root", "doc_id")), "sides")
-    member = sides.select("doc_id", "root", F.posexplode("keys").alias("i", "key"))
-    open_ = stage(member.groupBy("i", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("i", "key"), "open")
-    inside = stage(sides.select("*", F.posexplode("keys").alias("i", "key")).join(open_, ["i", "key"]), "inside")
-    x, y = inside.alias("x"), inside.alias("y")
-    fits = (F.col("x.i") == F.col("y.i")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
-    fits &= F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n")
-    for j in range(SKETCHES - 1):
-        fits &= (F.col("x.i") <= j) | (F.col("x.keys")[j] != F.col("y.keys")[j])
-    rest = x.join(y, fits).where(can("x.bins", "y.bins")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    rest = stage(rest.distinct(), "rest")
-    # One partner each first, so that a large class among the rest does not cost all its pairs.
+    # The documents of buckets that are not in one component yet.
+    member = firsts.where("keys is not null").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode(single).alias("key"))
+    member = stage(member, "member")
+    buckets = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    open_ = stage(texts_of(member.join(buckets, "key", "left_semi").select("node", "root").distinct()), "open")
+    usual = np.zeros(1 << SLOT_BITS, np.int64)
+    for slot, number in open_.mapInArrow(count_slots, "slot long, number long").groupBy("slot").agg(F.sum("number")).collect():
+        usual[slot] = number
+    tokens = stage(open_.mapInArrow(shown_tokens(usual, least), "node long, root long, token long, n int, rank int, few boolean, bins binary"), "tokens")
+    x, y = (tokens.drop("bins").alias(c) for c in "xy")
+    fits = (F.col("x.token") == F.col("y.token")) & F.col("x.few") & (F.col("x.root") != F.col("y.root"))
+    fits &= F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
+    fits &= F.col("x.n") >= F.lit(least) * F.col("y.n")
+    # Where the first common shingle is, those after it must still be enough.
+    fits &= F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank")) >= F.lit(least / (1 + least)) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    rest = x.join(y, fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    bins = tokens.where("rank = 0").select("node", "bins")
+    for c in "ab":
+        rest = rest.join(bins.select(F.col("node").alias(c), F.col("bins").alias(f"bins_{c}")), c)
+    rest = stage(rest.where(possible(least)("bins_a", "bins_b")).select("a", "b"), "rest")
+    # Where documents have many partners, one each first, so that a large class among the rest does not cost all its pairs.
     for every in (False, True):
         left_over = stage(apart(rest, roots), "apart")
-        links = stage(links.unionByName(verified(left_over if every else left_over.groupBy("b").agg(F.min("a").alias("a")))).distinct(), "links")
-        roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = (
-        firsts.select("copy", F.col("doc_id").alias("node"))
-        .join(roots, "node", "left")
-        .join(degree, "node", "left")
-        .select("copy", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    )
-    out = sketched.select("doc_id", "copy").join(classes, "copy", "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+        number, different = left_over.agg(F.count("*"), F.countDistinct("b")).first()
+        if not number:
+            break
+        if not every and number < 4 * different:
+            continue
+        more = verified(left_over if every else left_over.groupBy("b").agg(F.min("a").alias("a")), open_.select("node", "text"))
+        if not more.isEmpty():
+            roots = joined(roots, more)
+    classes = firsts.select("copy", "none", "doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keeper = classes.groupBy("root").agg(F.min(F.struct("none", "doc_id", "copy")).alias("keeper"))
+    named = keeper.select("root", F.col("keeper.doc_id").alias("class_id"), F.col("keeper.doc_id").alias("keeper_id"), F.col("keeper.copy").alias("keeper_copy"))
+    return classes.select("copy", "root").join(named, "root").drop("root")
+
+
+def with_copy(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text, and copy, the text's 16-byte hash. Null counts as the empty text."""
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return docs.withColumn("copy", F.unhex(F.md5("text")))
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
+    """One row for each row of df: doc_id, class_id (smallest id of its class), kept (its id and text are its class's first).
+
+    Equal texts are one class, null counting as empty; texts without a word have no other partners.
+    Rows of one id with different texts are different documents; equal rows are all kept or all not.
+    A row without an id comes after all others: its class may have an id, it is kept only in a class
+    that has none. An empty table gives no rows. Other columns are left out.
+    """
+    docs = with_copy(df, doc_id, text)
+    classes = stage(text_classes(docs, least), "classes")
+    out = docs.select("doc_id", "copy").join(classes, "copy", "left")
+    kept = F.col("doc_id").eqNullSafe(F.col("keeper_id")) & (F.col("copy") == F.col("keeper_copy"))
+    return out.select("doc_id", "class_id", kept.alias("kept"))
+
+
+def first_of_class(df: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of df (with doc_id and text) that are their class's first by id, one row for each class; of rows equal in id and text the smallest by all columns."""
+    spark, columns = df.sparkSession, df.columns
+    prepare(spark)
+    keyed = df.withColumn("_copy", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    first = text_classes(with_copy(df), least).where("copy = keeper_copy").select(F.col("keeper_id").alias("_id"), F.col("copy").alias("_copy"))
+    left = stage(keyed.join(first, "_copy").where(F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id"), "first")
+    often = left.groupBy("_copy").count().where("count > 1").select("_copy")
+    if often.isEmpty():
+        return left.select(*columns)
+    least_row = F.min(F.struct(*columns)).alias("row")
+    some = left.join(often, "_copy", "left_semi").groupBy("_copy").agg(least_row).select("row.*")
+    return left.join(often, "_copy", "left_anti").select(*columns).unionByName(some)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

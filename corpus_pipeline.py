@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clausework.llm.common import prepare, stage, table
 from clausework.llm.decontamination import contaminated
-from clausework.llm.near_dedup import near_duplicates
+from clausework.llm.near_dedup import first_of_class
 from clausework.llm.sentence_pieces import segment
 from clausework.llm.suffix_dedup import remove_repeats, whole_characters
 from clausework.llm.toxicity import fit, score, training_rows
@@ -24,14 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each class of near duplicates stays, once; documents without an id stay."""
-    prepare(spark)
-    classes = stage(near_duplicates(docs).select("doc_id", "kept"), "classes")
-    gone = classes.where("not kept").select("doc_id").distinct()
-    left = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
-    if classes.where("kept").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    """One row of each class of near duplicates stays: the one with the smallest id, rows without an id coming last.
+
+    Rows are told apart by id and text, so another text of the same id stays if its own class is another.
+    """
+    return first_of_class(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

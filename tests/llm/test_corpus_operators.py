@@ -298,11 +298,38 @@ def test_histograms_never_drop_a_pair_that_is_alike(spark):
 
 
 def test_near_duplicates_odd_rows(spark):
-    df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
-    rows = near_dedup.near_duplicates(df).collect()
-    assert len(rows) == 4
-    assert {(r["doc_id"], r["class_id"]) for r in rows} == {(None, None), (1, 1), (2, 1)}
-    assert near_dedup.near_duplicates(df.limit(0)).count() == 0
+    rng = random.Random(5)
+    long, other = prose(rng, 300), prose(rng, 40)
+    rows = [(1, None), (2, ""), (3, "one"), (4, "One!"), (None, "one"), (7, long), (7, other), (7, other), (9, long + " end"), (None, other + " end"), (None, "alone"), (2, long)]
+    df = spark.createDataFrame([(d, t, "c", "k") for d, t in rows], "doc_id long, text string, class_id string, kept string")
+    out = [(r["doc_id"], r["class_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect()]
+    first = {(1, 1, True), (2, 1, False), (3, 3, True), (4, 3, False), (None, 3, False), (7, 2, False), (7, 7, True), (9, 2, False), (None, 7, False), (None, None, True), (2, 2, True)}
+    assert len(out) == len(rows) and set(out) == first and out.count((7, 7, True)) == 2
+    left = near_dedup.first_of_class(df)
+    assert left.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == sorted([(1, None), (3, "one"), (7, other), (0, "alone"), (2, long)], key=lambda r: (r[0], r[1] or "")), left.collect()
+    assert near_dedup.near_duplicates(df.limit(0)).count() == 0 and near_dedup.first_of_class(df.limit(0)).count() == 0
+
+
+def test_shown_shingles_always_meet(spark):
+    """Two sets that are alike have their first common shingle among those that they show, at a place from which the rest is enough."""
+    rng = random.Random(3)
+    for _ in range(2000):
+        n = rng.randint(1, 60)
+        x = set(rng.sample(range(200), n))
+        y = set(x)
+        for _ in range(rng.randint(0, max(1, n // 5))):
+            y.discard(rng.choice(sorted(y or {0})))
+            if rng.random() < 0.5:
+                y.add(rng.randint(0, 400))
+        if not y or len(x & y) < 0.8 * len(x | y):
+            continue
+        x, y = sorted([sorted(x), sorted(y)], key=len)
+        few, many = near_dedup.shown(np.array([len(x), len(y)]), 0.8)
+        common = min(set(x) & set(y))
+        i, j = x.index(common), y.index(common)
+        assert i < few[0] and j < many[1]
+        assert min(len(x) - i, len(y) - j) >= 0.8 / 1.8 * (len(x) + len(y)) - 1e-6
 
 
 def test_order_matters_to_a_sketch():
@@ -328,6 +355,10 @@ def test_components(spark):
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
     assert got == {i: find(i) for i in list(root) if find(i) != i}
+    roots = near_dedup.components(spark.createDataFrame(edges[::2], "a long, b long"))
+    more = near_dedup.joined(roots, spark.createDataFrame(edges[1::2], "a long, b long"))
+    assert {r["node"]: r["root"] for r in more.collect()} == got and more.count() == len(got)
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # Repeated passages.
