@@ -352,13 +352,6 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return stage(moved.unionByName(above.join(roots.select("node"), "node", "left_anti")), "roots")
 
 
-def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs a, b of different components."""
-    for c in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-
 def text_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One row for each text of docs (doc_id long, text, copy): copy, class_id, keeper_id, keeper_copy.
 
@@ -405,28 +398,33 @@ def text_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     for slot, number in open_.mapInArrow(count_slots, "slot long, number long").groupBy("slot").agg(F.sum("number")).collect():
         usual[slot] = number
     tokens = stage(open_.mapInArrow(shown_tokens(usual, least), "node long, root long, token long, n int, rank int, few boolean, bins binary"), "tokens")
-    x, y = (tokens.drop("bins").alias(c) for c in "xy")
-    fits = (F.col("x.token") == F.col("y.token")) & F.col("x.few") & (F.col("x.root") != F.col("y.root"))
-    fits &= F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
-    fits &= F.col("x.n") >= F.lit(least) * F.col("y.n")
-    # Where the first common shingle is, those after it must still be enough.
-    fits &= F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank")) >= F.lit(least / (1 + least)) * (F.col("x.n") + F.col("y.n")) - 1e-6
-    rest = x.join(y, fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    bins = tokens.where("rank = 0").select("node", "bins")
-    for c in "ab":
-        rest = rest.join(bins.select(F.col("node").alias(c), F.col("bins").alias(f"bins_{c}")), c)
-    rest = stage(rest.where(possible(least)("bins_a", "bins_b")).select("a", "b"), "rest")
-    # Where documents have many partners, one each first, so that a large class among the rest does not cost all its pairs.
-    for every in (False, True):
-        left_over = stage(apart(rest, roots), "apart")
-        number, different = left_over.agg(F.count("*"), F.countDistinct("b")).first()
-        if not number:
-            break
-        if not every and number < 4 * different:
-            continue
-        more = verified(left_over if every else left_over.groupBy("b").agg(F.min("a").alias("a")), open_.select("node", "text"))
-        if not more.isEmpty():
-            roots = joined(roots, more)
+    bins = stage(tokens.where("rank = 0").select("node", "bins"), "bins")
+
+    def enough(x: str, y: str):
+        """Where the first common shingle is, those after it must still be enough; and one text must not be much longer."""
+        n, m, i, j = (F.col(f"{c}.{v}") for v in ("n", "rank") for c in (x, y))
+        return (F.least(n, m) >= F.lit(least) * F.greatest(n, m)) & (F.least(n - i, m - j) >= F.lit(least / (1 + least)) * (n + m) - 1e-6)
+
+    def linked(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """The roots after the links among pairs of nodes a, b."""
+        for c in "ab":
+            pairs = pairs.join(bins.select(F.col("node").alias(c), F.col("bins").alias(f"bins_{c}")), c)
+        pairs = stage(pairs.where(possible(least)("bins_a", "bins_b")).select("a", "b"), "rest")
+        more = verified(pairs, open_.select("node", "text"))
+        return roots if more.isEmpty() else joined(roots, more)
+
+    def both(x: str, y: str):
+        return F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")
+
+    # First with the text that has the fewest rarer shingles, which is in the middle of its like, so that a large class does not cost its pairs.
+    middle = F.min(F.struct("rank", "n", "node", "root")).alias("hub")
+    hubs = tokens.groupBy("token").agg(middle, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token", "hub")
+    x = tokens.drop("bins").alias("x")
+    roots = linked(x.join(hubs, "token").where((F.col("x.root") != F.col("hub.root")) & enough("x", "hub")).select(*both("x", "hub")).distinct(), roots)
+    known = stage(tokens.drop("bins", "root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "known")
+    x, y = known.alias("x"), known.alias("y")
+    fits = (F.col("x.token") == F.col("y.token")) & F.col("x.few") & (F.col("x.root") != F.col("y.root")) & enough("x", "y")
+    roots = linked(x.join(y, fits & (F.struct("x.n", "x.node") < F.struct("y.n", "y.node"))).select(*both("x", "y")).distinct(), roots)
     classes = firsts.select("copy", "none", "doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keeper = classes.groupBy("root").agg(F.min(F.struct("none", "doc_id", "copy")).alias("keeper"))
     named = keeper.select("root", F.col("keeper.doc_id").alias("class_id"), F.col("keeper.doc_id").alias("keeper_id"), F.col("keeper.copy").alias("keeper_copy"))

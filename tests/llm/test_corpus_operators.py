@@ -173,19 +173,34 @@ def test_recall_at_the_threshold_for_every_length(size):
     assert wanted > 60 and found >= 0.9 * wanted, (found, wanted)
 
 
-def test_gram_screen_never_drops_a_hit():
+def test_piece_screen_never_drops_a_hit():
     rng = random.Random(24)
     for _ in range(300):
-        items = decontamination.Items([(1, prose(rng, rng.randint(2, 40)))], 0.8)
+        items = decontamination.Items([(1, prose(rng, rng.randint(2, 60))), (2, prose(rng, 5))], 0.8)
         n = len(items.text[0])
         allowed = int(0.2 * n + 1e-9)
         chars = list(items.text[0])
         for _ in range(rng.randint(0, allowed)):
             chars[rng.randrange(len(chars))] = rng.choice(b"abcxyz ")
         text = np.frombuffer(prose(rng, 9).encode() + b" " + bytes(chars) + b" " + prose(rng, 9).encode(), np.uint8)
-        slots = {q: decontamination.gram_slots(text, q) for q in decontamination.GRAMS}
+        near = items.pieces_near(text, np.array([0, 0, 1]), np.array([0, 0, 0]), np.array([len(text), 1, len(text)]))
         if items.distance(0, text.tobytes()) <= allowed:
-            assert items.room(0, slots, 0, len(text), allowed)
+            assert near[0] and not near[1]
+
+
+def test_edit_minimum_of_many_spans():
+    rng = random.Random(25)
+    items = ["".join(rng.choices("ab c", k=rng.randint(1, 64))).encode() for _ in range(40)]
+    text = np.frombuffer("".join(rng.choices("ab c", k=300)).encode(), np.uint8)
+    table = np.zeros((len(items), 256), np.uint64)
+    for r, item in enumerate(items):
+        for i, c in enumerate(item):
+            table[r, c] |= np.uint64(1 << i)
+    row = np.array([rng.randrange(40) for _ in range(200)])
+    a = np.array([rng.randrange(300) for _ in row])
+    b = np.array([rng.randint(x, min(300, x + 90)) for x in a])
+    got = decontamination.edit_minimum(text, a, b, table, row, np.array([len(items[r]) for r in row]))
+    assert got.tolist() == [brute_distance(items[r], text[x:y].tobytes()) for r, x, y in zip(row, a, b, strict=True)]
 
 
 def test_blocks_of_the_benchmark(spark, monkeypatch):
