@@ -8,9 +8,9 @@ text and of every document. The sampled steps lie in the walk's first ones (abou
 signs), as walks part for good after many edits; an item has as many windows as words, and one
 window with a clean start is enough, which is where the recall comes from. Steps, sampled steps and
 repetitions go by an item's length (LEVELS). Each candidate places the whole item at one point of
-the document. Since an edit destroys at most q grams of q signs, a place with too few of the item's
-grams holds no hit and goes; elsewhere the item is aligned exactly: a document is
-contaminated by an item if the edit distance of some part of it is at most (1 - least) of the item's
+the document. An item cut into pieces of at most 64 signs has a piece with its share of the edits, or
+fewer, so a place where no piece has goes, all places in step; elsewhere the item is aligned exactly: a
+document is contaminated by an item if the edit distance of some part of it is at most (1 - least) of the item's
 length, on folded text (letters in lower case, runs of other ASCII signs one blank).
 
 Documents are read once for each block of the benchmark, where they lie, without a shuffle. A block
@@ -33,11 +33,13 @@ LEAST = 0.8
 #: For items of so many signs or more: steps, sampled steps and repetitions. Short items have few windows, so each must hit more easily.
 LEVELS = ((0, 10, 5, 8), (56, 28, 12, 8), (130, 44, 15, 8))
 STEPS = max(steps for _, steps, _, _ in LEVELS)
-#: Lengths of the grams by which candidates are screened before alignment, and slots of an item's table of them.
-GRAMS, SLOTS = (3, 4), 1 << 12
+#: Signs of a piece of an item, at most, that is held against a candidate's place before the whole item is.
+WORD = 64
 BLOCK, PIECE = 1 << 22, 1 << 20
+#: Pieces that are held against their places in step.
+CELLS = 1 << 13
 #: After so many sampled signs, windows are held against the items' windows, and the size of those tables.
-LOOKS, TABLE_BITS = (3, 5, 7, 10), 20
+LOOKS, TABLE_BITS = (4, 6, 8, 11), 18
 
 
 def squeezed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,13 +60,41 @@ def word_starts(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(letter & first)
 
 
-def gram_slots(text: np.ndarray, q: int) -> np.ndarray:
-    """A slot for each run of q signs."""
-    n = max(0, len(text) - q + 1)
-    key = np.zeros(n, np.uint64)
-    for j in range(q):
-        key = key << np.uint64(8) | text[j : j + n]
-    return (mix64(key) % np.uint64(SLOTS)).astype(np.int64)
+def edit_minimum(text: np.ndarray, a: np.ndarray, b: np.ndarray, table: np.ndarray, row: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each span a..b of the text the smallest edit distance of any part of it to a string of at most 64 signs: row of a table of the places of each sign, and the string's size. All spans go in step (Myers' bit vectors, one word each)."""
+    one = np.uint64(1)
+    order = np.argsort(a - b, kind="stable")
+    a, length, size = a[order], (b - a)[order], size[order]
+    flat, base = table.ravel(), row[order].astype(np.int64) << 8
+    top = one << (size - 1).astype(np.uint64)
+    up, down, score = (top << one) - one, np.zeros(len(a), np.uint64), size.astype(np.int32)
+    best = score.copy()
+    alive = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), side="right")
+    for step, n in enumerate(alive.tolist()):
+        u, d, t = up[:n], down[:n], top[:n]
+        eq = flat.take(base[:n] + text.take(a[:n] + step))
+        xv = eq | d
+        xh = eq & u
+        xh += u
+        xh ^= u
+        xh |= eq
+        ph = xh | u
+        np.invert(ph, out=ph)
+        ph |= d
+        xh &= u
+        s = score[:n]
+        s += (ph & t) != 0
+        s -= (xh & t) != 0
+        np.minimum(best[:n], s, out=best[:n])
+        ph <<= one
+        xh <<= one
+        np.bitwise_and(ph, xv, out=d)
+        xv |= ph
+        np.invert(xv, out=xv)
+        np.bitwise_or(xh, xv, out=u)
+    out = np.empty(len(a), np.int64)
+    out[order] = best
+    return out
 
 
 class Walk:
@@ -79,18 +109,19 @@ class Walk:
         """Places whose samples may be an item's (all, without tables), their keys, and the keys at the looks. text has spare zeros at its end."""
         pos, key, number, seen = at.astype(np.int64), np.full(len(at), 7, np.uint64), 0, {}
         for step in range(max(self.sampled) + 1):
-            sign = text[pos]
+            sign = text.take(pos)
             if step in self.sampled:
-                key = key * np.uint64(0x9E3779B97F4A7C15) + sign
+                key *= np.uint64(0x9E3779B97F4A7C15)
+                key += sign
                 number += 1
                 if number in LOOKS:
-                    look = (mix64(key) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+                    look = ((key ^ key >> np.uint64(29)) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
                     if tables is None:
                         seen[number] = look
                     else:
-                        keep = tables[number][look]
+                        keep = np.flatnonzero(tables[number].take(look))
                         at, pos, key, sign = at[keep], pos[keep], key[keep], sign[keep]
-            pos = pos + self.bits[step][sign]
+            pos += self.bits[step].take(sign)
         return at, mix64(key), seen
 
 
@@ -111,7 +142,8 @@ class Items:
             for j, c in enumerate(item):
                 where[c] = where.get(c, 0) | 1 << j
             self.patterns.append(where)
-        self.grams = {}
+        self.size = np.array([len(t) for t in self.text], np.int64)
+        self.allowed = ((1 - least) * self.size + 1e-9).astype(np.int64)
         self.levels = []
         above = [low for low, _, _, _ in LEVELS[1:]] + [float("inf")]
         for (low, steps, sampled, repetitions), high in zip(LEVELS, above, strict=True):
@@ -119,26 +151,27 @@ class Items:
             if chosen:
                 self.levels += [self.level(Walk(r, steps, sampled), chosen, steps) for r in range(repetitions)]
 
-    def known_grams(self, k: int, q: int) -> np.ndarray:
-        """Which slots the item's grams of q signs fall into."""
-        if (k, q) not in self.grams:
-            table = np.zeros(SLOTS, bool)
-            table[gram_slots(np.frombuffer(self.text[k], np.uint8), q)] = True
-            self.grams[k, q] = np.packbits(table)
-        return np.unpackbits(self.grams[k, q])
-
-    def room(self, k: int, slots: dict[int, np.ndarray], a: int, b: int, allowed: int) -> bool:
-        """Whether some part of a..b has the grams that a hit of item k keeps after `allowed` edits."""
-        n = len(self.text[k])
-        for q in GRAMS:
-            need, width = n - q + 1 - q * allowed, n + allowed - q + 1
-            if need <= 0:
-                continue
-            total = np.cumsum(np.append(np.uint8(0), self.known_grams(k, q)[slots[q][a : max(a, b - q + 1)]]), dtype=np.int64)
-            most = (total[width:] - total[:-width]).max() if len(total) > width else total[-1]
-            if most < need:
-                return False
-        return True
+    def pieces_near(self, text: np.ndarray, k: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For spans a..b of the text and an item for each (in order): whether some piece of the item has its share of the edits allowed, or fewer, in the span."""
+        near = np.zeros(len(k), bool)
+        number = -(-self.size[k] // WORD)
+        which = np.repeat(np.arange(len(k)), number)
+        piece = np.arange(len(which)) - np.repeat(np.cumsum(number) - number, number)
+        for lo in range(0, len(which), CELLS):
+            some, i = which[lo : lo + CELLS], piece[lo : lo + CELLS]
+            item = k[some]
+            first, last = (self.size[item] * (i + x) // number[some] for x in (0, 1))
+            name = item << 32 | i
+            known, at, row = np.unique(name, return_index=True, return_inverse=True)
+            table = np.zeros((len(known), 256), np.uint64)
+            for r, x in enumerate(at.tolist()):
+                signs = np.frombuffer(self.text[item[x]], np.uint8)[first[x] : last[x]]
+                np.bitwise_or.at(table[r], signs, np.uint64(1) << np.arange(len(signs), dtype=np.uint64))
+            size = last - first
+            best = edit_minimum(text, a[some], b[some], table, row, size)
+            hit = best * self.size[item] <= self.allowed[item] * size
+            near[some[hit]] = True
+        return near
 
     def level(self, walk: Walk, chosen: list[int], steps: int) -> tuple:
         joined = np.frombuffer(b"".join(self.text[k] + b" " for k in chosen) + bytes(steps), np.uint8)
@@ -205,33 +238,32 @@ class Items:
         return self.verified(text, off, item, place)
 
     def verified(self, text: np.ndarray, off: np.ndarray, item: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int]]:
-        size = np.array([len(t) for t in self.text])[item]
+        """(text, item, edit distance) of the hits among the candidates."""
+        item, place = (x.astype(np.int64) for x in np.divmod(np.unique(item * (len(text) << 1) + place + len(text)), len(text) << 1))
+        place -= len(text)
+        size, last = self.size[item], max(0, len(text) - 1)
         slack = np.ceil((1 - self.least) * size).astype(np.int64)
-        # A place before its text's start belongs to the text that the window's middle is in.
-        row = np.searchsorted(off, np.clip(place + size // 2, 0, max(0, len(text) - 1)), side="right") - 1
-        spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for r in (row, np.searchsorted(off, np.clip(place + size, 0, max(0, len(text) - 1)), side="right") - 1, np.searchsorted(off, np.clip(place, 0, max(0, len(text) - 1)), side="right") - 1):
-            for k, d, a, b in set(zip(item.tolist(), r.tolist(), np.maximum(place - slack, off[r]).tolist(), np.minimum(place + size + slack, off[r + 1]).tolist(), strict=True)):
-                if b - a >= self.least * len(self.text[k]):
-                    spans.setdefault((d, k), []).append((a, b))
-        slots = {q: gram_slots(text, q) for q in GRAMS}
+        # A place before its text's start belongs to the text that the window's middle or end is in.
+        row = np.concatenate([np.searchsorted(off, np.clip(place + x, 0, last), side="right") - 1 for x in (0 * size, size // 2, size)])
+        item, place, size, slack = (np.tile(x, 3) for x in (item, place, size, slack))
+        a, b = np.maximum(place - slack, off[row]), np.minimum(place + size + slack, off[row + 1])
+        order = np.lexsort((b, a, row, item))
+        item, row, a, b = item[order], row[order], a[order], b[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(item) != 0) | (np.diff(row) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0)
+        keep = np.flatnonzero(new & (b - a >= self.least * self.size[item]))
+        keep = keep[self.pieces_near(text, item[keep], a[keep], b[keep])]
+        spans: dict[tuple[int, int], list[list[int]]] = {}
+        for k, d, x, y in zip(item[keep].tolist(), row[keep].tolist(), a[keep].tolist(), b[keep].tolist(), strict=True):
+            upto = spans.setdefault((d, k), [])
+            if upto and x <= upto[-1][1]:
+                upto[-1][1] = max(y, upto[-1][1])
+            else:
+                upto.append([x, y])
         out = []
         for (d, k), found in spans.items():
-            allowed, best, upto = int((1 - self.least) * len(self.text[k]) + 1e-9), None, []
-            for a, b in sorted(set(found)):
-                if upto and a <= upto[-1][1]:
-                    upto[-1][1] = max(b, upto[-1][1])
-                else:
-                    upto.append([a, b])
-            for a, b in upto:
-                if not self.room(k, slots, a, b, allowed):
-                    continue
-                e = self.distance(k, text[a:b].tobytes())
-                if e <= allowed and (best is None or e < best):
-                    best = e
-                if best == 0:
-                    break
-            if best is not None:
+            best = min(self.distance(k, text[x:y].tobytes()) for x, y in found)
+            if best <= self.allowed[k]:
                 out.append((d, k, best))
         return out
 
