@@ -85,14 +85,27 @@ def test_top_k_equals_brute_force_with_ties(spark, monkeypatch):
 
 
 def test_bounds_hold_the_score():
-    rng = np.random.default_rng(0)
-    x = rng.integers(-50, 50, (60, 8)).astype(float)
-    block, q = exact_topk.Block(np.arange(60), x), rng.integers(-50, 50, (3, 8)).astype(float)
-    for depth in (1, 7, 30, 60):
-        low, high = block.bounds(np.maximum(q, 0), np.minimum(q, 0), depth)
-        exact = q @ block.x.T
-        assert (low <= exact).all() and (exact <= high).all()
-    assert np.allclose(low, exact) and np.allclose(high, exact)
+    rng = np.random.default_rng(2)
+    x, q = (rng.integers(-99, 99, (n, 12)).astype(float) for n in (200, 20))
+    block = exact_topk.Block(np.arange(200), x)
+    score = q @ x.T
+    assert (block.first_bounds(q) >= score).all()
+    for depth in range(len(exact_topk.DEPTHS)):
+        low, high = (np.stack(b) for b in zip(*[block.bounds(v, np.arange(200), depth) for v in q], strict=True))
+        assert (low <= score).all() and (score <= high).all()
+        if not depth:
+            assert (high <= block.first_bounds(q)).all()
+    assert (low == score).all() and (high == score).all()
+
+
+def test_queries_stop_before_the_lists_end():
+    rng = np.random.default_rng(3)
+    x = np.floor(256 * rng.normal(size=(8, 16)))[rng.integers(0, 8, 2000)] + rng.integers(-40, 40, (2000, 16))
+    block = exact_topk.Block(np.arange(2000), x)
+    i, at, score = block.top(np.arange(0, 2000, 50), x[::50], np.full(40, -np.inf), 5)
+    want = np.sort(np.where(np.arange(0, 2000, 50)[:, None] == np.arange(2000), -np.inf, x[::50] @ x.T), axis=1)[:, :-6:-1]
+    assert (score.reshape(40, 5) == want).all()
+    assert block.stopped[-1] == 0 and sum(block.stopped) == 40
 
 
 def test_top_k_odd_vectors(spark):
