@@ -49,7 +49,7 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros((n, SLOTS), np.float32)
     for start in range(0, len(data), BYTES):
         piece = FOLD[data[start : start + BYTES + ORDERS]]
-        lead = np.concatenate([[0], piece[:-1]])
+        lead = np.concatenate([data[start - 1 : start] if start else [0], piece[:-1]])
         piece = np.where((lead == 0xC3) & (piece >= 0x80) & (piece <= 0x9E) & (piece != 0x97), piece + 0x20, piece).astype(np.uint32)
         at = np.arange(start, min(start + BYTES, len(data)))
         row = np.searchsorted(offsets, at, side="right") - 1

@@ -34,11 +34,18 @@ MODEL, BLANK = "piece_bpe_32k.model", "▁"
 UNITS, ARCS = 250_000, 6_000_000
 #: Words whose lattices are filtered together.
 ADDED = 16_384
+#: Words of a batch that are still unfinished, below which they go one by one.
+FEW = 16
 WORDS = re.compile(r" *[^ ]+| +")
 #: Of the hash of a piece's beginning.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def keyed(x: int) -> float:
+    """The draw that an array of keys would get, for one key."""
+    return float((mix64(np.array([x], np.uint64)) >> np.uint64(11)).astype(np.float64)[0] * 2.0**-53)
+
+
 class Pieces:
     """A piece model, and the filtered lattices of the words seen."""
 
@@ -122,7 +129,9 @@ class Pieces:
         arcs_of = np.diff(np.append(lead, len(node)))
         steps = np.searchsorted(depth, np.arange(int(size.max()) + 1))
         heads = np.searchsorted(lead, steps)
-        for lo, hi, x, y in zip(steps[:-1], steps[1:], heads[:-1], heads[1:], strict=True):
+        # Words that are longer than most go alone, a letter at a time, without the cost of an array for each.
+        alone = int(np.argmax(np.append(np.diff(heads), 0) < FEW))
+        for lo, hi, x, y in zip(steps[:alone], steps[1 : alone + 1], heads[:alone], heads[1 : alone + 1], strict=True):
             back = before[lo:hi]
             sum_ = weight[lo:hi] + np.where(back >= 0, total[back], 0.0)
             first, many = lead[x:y] - lo, arcs_of[x:y]
@@ -131,6 +140,9 @@ class Pieces:
             whole = np.add.reduceat(share, first)
             total[node[lead[x:y]]] = most + np.log(whole)
             chance[lo:hi] = share / np.repeat(whole, many)
+        if alone < len(heads) - 1:
+            lo, x = int(steps[alone]), int(heads[alone])
+            chance[lo:] = self.forward(total, before[lo:].tolist(), weight[lo:].tolist(), arcs_of[x:].tolist(), node[lead[x:]].tolist())
         upto = np.cumsum(chance) - np.repeat(np.arange(len(lead)), arcs_of)
         upto[np.append(lead[1:], len(node)) - 1] = 2.0
         nodes, kept = len(self.first), len(self.upto)
@@ -144,6 +156,24 @@ class Pieces:
         self.last.frombytes((ends - 1 + nodes).astype(np.int32).tobytes())
         self.index.update(zip(words, range(number, number + len(words)), strict=True))
 
+    @staticmethod
+    def forward(total: np.ndarray, before: list[int], weight: list[float], arcs_of: list[int], nodes: list[int]) -> list[float]:
+        """The share of each arc in its node, node by node, from the logarithms that are known so far."""
+        known, out, at = {}, [], 0
+        for many, node in zip(arcs_of, nodes, strict=True):
+            sums = []
+            for i in range(at, at + many):
+                back = before[i]
+                sums.append(weight[i] + (0.0 if back < 0 else known[back] if back in known else float(total[back])))
+            at += many
+            most, whole = max(sums), 0.0
+            shares = [math.exp(s - most) for s in sums]
+            for s in shares:
+                whole += s
+            known[node] = most + math.log(whole)
+            out += [s / whole for s in shares]
+        return out
+
     def encode(self, texts: list[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts end to end, and the n + 1 offsets into them."""
         if len(self.index) > UNITS or len(self.upto) > ARCS:
@@ -165,7 +195,7 @@ class Pieces:
         who = np.arange(len(units))
         node = last[np.fromiter(map(index.__getitem__, units), np.int64, len(units))]
         taken, number, step = [], np.zeros(len(units), np.int64), 0
-        while len(who):
+        while len(who) >= max(1, FEW):
             draw = (mix64(salt[who] ^ np.uint64(step * 0xD1B54A32D192ED03 % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             arc = first[node].astype(np.int64)
             low = np.flatnonzero(upto[arc] <= draw)
@@ -177,11 +207,25 @@ class Pieces:
             node = before[arc]
             open_ = node >= 0
             who, node, step = who[open_], node[open_], step + 1
+        # The few words that are left go one by one.
+        rest: list[tuple[int, int, int]] = []
+        for w, node_ in zip(who.tolist(), node.tolist(), strict=True):
+            t, salt_ = step, int(salt[w])
+            while node_ >= 0:
+                draw_, arc_ = keyed(salt_ ^ t * 0xD1B54A32D192ED03 % 2**64), int(first[node_])
+                while upto[arc_] <= draw_:
+                    arc_ += 1
+                rest.append((w, t, int(piece[arc_])))
+                node_, t = int(before[arc_]), t + 1
+            number[w] = t
         del last, first, upto, before, piece
         ends = np.cumsum(number)
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
         for t, (w, p) in enumerate(taken):
             out[ends[w] - 1 - t] = p
+        if rest:
+            w, t, p = np.array(rest, np.int64).T
+            out[ends[w] - 1 - t] = p
         length = np.ones(len(out), np.int64)
         odd = np.flatnonzero(out < 0)
         if len(odd):

@@ -29,6 +29,8 @@ SAMPLE_PER_CLASS = 3000
 FEATURES, MIN_DOCS = 20_000, 3
 PREFIXES = (4, 5, 6, 7)
 WORDS_KEPT = 200_000
+#: Words of so many letters are not kept.
+LONG = 100
 
 SENTENCES, WORDS = re.compile(r"[.!?\n\r]+"), re.compile(r"[^\W\d_]+")
 
@@ -48,10 +50,11 @@ class Model(dict):
         return Model, (self.bias, self.weights)
 
     def __missing__(self, word: str) -> float:
-        w = sum(self.weights.get(f, 0.0) for f in features(word)) if len(word) < 100 else 0.0
+        w = sum(self.weights.get(f, 0.0) for f in features(word))
         if len(self) >= WORDS_KEPT:
             self.clear()
-        self[word] = w
+        if len(word) < LONG:
+            self[word] = w
         return w
 
     def sentences(self, text: str) -> list[tuple[str, float]]:
@@ -59,7 +62,7 @@ class Model(dict):
         return [(s, 1 / (1 + math.exp(-min(30.0, self.bias + sum(map(self.__getitem__, WORDS.findall(s.lower()))))))) for s in SENTENCES.split(text) if s.strip()]
 
     def score(self, text: str | None) -> float:
-        """Noisy-or over the sentences; an empty text scores as one empty sentence."""
+        """Noisy-or over the sentences; a text without any, as an empty one or one of stops alone, scores as one empty sentence."""
         get, bias, keep, plain = self.__getitem__, self.bias, 0.0, 0
         for s in SENTENCES.split((text or "").lower()):
             z = sum(map(get, WORDS.findall(s)))
@@ -67,7 +70,7 @@ class Model(dict):
                 keep -= math.log1p(math.exp(min(30.0, bias + z)))
             elif s:
                 plain += 1
-        return -math.expm1(keep - max(plain, not text) * math.log1p(math.exp(bias)))
+        return -math.expm1(keep - (plain or not keep) * math.log1p(math.exp(bias)))
 
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 300, decay: float = 2e-4) -> Model:
@@ -124,7 +127,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PE
     wanted = F.lit(False)
     for c, n in sizes.items():
         wanted = wanted | ((F.col("toxic") == c) & (place < int(min(1.0, (per_class + 3 * per_class**0.5) / n) * (1 << 30))))
-    picked = known.where(wanted).limit(3 * per_class * max(1, len(sizes)))
+    picked = known.where(wanted).orderBy(place, "doc_id").limit(3 * per_class * max(1, len(sizes)))
     rows = docs.where("text is not null").join(F.broadcast(picked), "doc_id").select("toxic", place.alias("place"), "doc_id", "text").collect()
     out, taken = [], Counter()
     for r in sorted(rows, key=lambda r: (r["place"], r["doc_id"], r["text"])):

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import time
 import zlib
 
 import numpy as np
@@ -233,3 +235,51 @@ def test_escaping_is_reversible(text):
     assert "<|" not in out
     assert chat_format.unescape(out) == text
     assert chat_format.unescape_role(chat_format.escape_role(text)) == text
+
+
+# Cases that an earlier version got wrong or took long for.
+
+
+def test_one_very_long_word_among_short_ones():
+    model = sentence_pieces.pieces(sentence_pieces.tokenizer_file(sentence_pieces.MODEL, None), 1.0)
+    rng = random.Random(31)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzé東", k=80_000))
+    texts = ["some words here", long, "", "x" * 3000, None, " ".join(long[i : i + 9] for i in range(0, 9000, 9))]
+    keys = np.arange(len(texts))
+    began = time.time()
+    ids, offsets = model.encode(texts, keys)
+    assert time.time() - began < 8
+    data, bounds = model.decode(ids.astype(np.int64), offsets)
+    assert [data[a:b].tobytes().decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [t or "" for t in texts]
+    # The same text and key by themselves, after the lattices were forgotten.
+    model.reset()
+    alone, _ = model.encode([long], np.array([1]))
+    assert (alone == ids[offsets[1] : offsets[2]]).all()
+
+
+def test_words_one_by_one_sample_the_same(monkeypatch):
+    model = sentence_pieces.pieces(sentence_pieces.tokenizer_file(sentence_pieces.MODEL, None), 1.0)
+    texts = [f"tokenization of number {i} and internationalization" for i in range(60)]
+    got = []
+    for few in (1, 10**9):
+        monkeypatch.setattr(sentence_pieces, "FEW", few)
+        model.reset()
+        got.append(model.encode(texts, np.arange(60)))
+    assert all((a == b).all() for a, b in zip(*got, strict=True))
+
+
+def test_texts_without_a_sentence_score_alike():
+    model = toxicity.Model(-2.0, {"idiot": 5.0})
+    floor = model.score("")
+    assert floor > 0 and all(model.score(t) == floor for t in (None, "!!!", ".", "?\n", "plain words"))
+    assert model.score("idiot") > 0.9 and model.score("plain. words") > floor
+    assert toxicity.Model(0.0, {"aaaa*": 1.0}).score("a" * 300) > 0.7
+
+
+def test_presence_folds_letters_across_a_piece(monkeypatch):
+    text = "x" * 9 + "É" + "yz"
+    data, off = utf8(pa.array([text]))
+    whole = language_id.presence(data, off)
+    for size in range(5, 14):
+        monkeypatch.setattr(language_id, "BYTES", size)
+        assert (language_id.presence(data, off) == whole).all()
