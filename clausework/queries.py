@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausework.functions import similarity, text as T
-from clausework.operators import align, classify, definitions as D, lineage, scoring, verify
+from clausework.operators import align, binding, classify, definitions as D, lineage, scoring, verify
 from clausework.plans import clauses as C, diff
 from clausework.sources import adapters, markup, scan
 
@@ -91,19 +91,18 @@ def by_key(spark, d) -> DataFrame:
 
 
 KEYED = f"""(select coalesce(o.doc, n.doc) as doc, coalesce(o.seq, n.seq) as seq, coalesce(o.k, n.k) as k, o.doc is null as added, n.doc is null as removed,
-  o.keyword as old_keyword, n.keyword as new_keyword, o.modality as old_modality, n.modality as new_modality, o.exception as old_exception, n.exception as new_exception
+  o.keyword as old_keyword, n.keyword as new_keyword, o.modality as old_modality, n.modality as new_modality, o.exception as old_exception, n.exception as new_exception, o.condition as old_condition
   from ({req_sql(1)}) o full outer join ({req_sql(2)}) n on o.doc = n.doc and o.seq = n.seq)"""
 CLASS = """case when added then 'ADDED' when removed then 'REMOVED' when k = 2 then 'POLARITY_FLIP'
   when k = 1 then case when old_modality in ('MUST', 'MUST_NOT') then 'WEAKENED' else 'STRENGTHENED' end
   when k = 3 then 'MOVED' when k = 4 then case when old_exception is null then 'EXCEPTION_ADDED' else 'EXCEPTION_REMOVED' end
-  when k = 5 then 'CONDITION_X' else 'UNCHANGED' end"""
+  when k = 5 then case when old_condition is null then 'CONDITION_ADDED' else 'CONDITION_REMOVED' end else 'UNCHANGED' end"""
 
 
 @query(f"select doc, seq, {CLASS} as classification from {KEYED}")
 def change_classes(spark, d):
     told = by_key(spark, d).withColumn("c", classify.classification(F.col("old"), F.col("new"), F.col("score")))
-    kind = F.when(F.col("c.classification").startswith("CONDITION_"), "CONDITION_X").otherwise(F.col("c.classification"))
-    return told.select("doc", "seq", kind.alias("classification"))
+    return told.select("doc", "seq", "c.classification")
 
 
 @query(f"select {CLASS} as classification, count(*) as n from {KEYED} group by 1")
@@ -434,3 +433,139 @@ def manifest_duplicates(spark, d):
 @query("select phase, bool_and(passed) as passed, count(*) as gates from (" + SQL["gate_verdicts"] + ") group by phase")
 def phase_verdicts(spark, d):
     return scoring.phases(gate_verdicts(spark, d))
+
+
+# Binding rows, and reports over them.
+
+
+@query("select page_id, case when page_id % 3 = 0 then null when page_id % 3 = 1 then 'rfc required, found w3c' else 'rfc required, found none' end as reason from pages")
+def family_gate(spark, d):
+    family = F.when(F.col("page_id") % 3 == 0, "rfc").when(F.col("page_id") % 3 == 1, "w3c")
+    return binding.required_family(t(spark, d, "pages").select("page_id", family.alias("family")), "rfc").select("page_id", "reason")
+
+
+@query("select distinct conv_id from conversations where conv_id not in (select conv_id from conversations where conv_id is not null and turn % 2 = 1 and conv_id % 7 <> 0 and regexp_matches(coalesce(text, ''), '\\S'))")
+def empty_bodies(spark, d):
+    rows = t(spark, d, "conversations").where("conv_id is not null")
+    return binding.without_body(rows.select("conv_id").distinct(), rows.where("turn % 2 = 1 and conv_id % 7 <> 0").select("conv_id", "text"), "conv_id")
+
+
+@query("select page_id, case when page_id % 4 = 0 then null else 'og=http://o/' || cast(page_id as string) || ',x=http://x/' end as bound from pages")
+def prefix_maps(spark, d):
+    again = F.when(F.col("page_id") % 4 == 0, " OG: http://again/").otherwise("")
+    value = F.concat(F.lit("og: http://o/"), F.col("page_id").cast("string"), F.lit("  x: http://x/"), again)
+    found = binding.prefix_bindings(value)
+    text = F.array_join(F.transform(F.array_sort(F.map_entries(found)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return t(spark, d, "pages").select("page_id", text.alias("bound"))
+
+
+@query("select page_id, page_id % 5 <> 0 and page_id % 7 <> 0 as same from pages")
+def source_identity(spark, d):
+    other = lambda n: F.when(F.col("page_id") % n == 0, F.concat("url", F.lit("#"))).otherwise(F.col("url"))
+    rows = t(spark, d, "pages").withColumn("url", F.coalesce("url", F.lit("http://none/")))
+    return rows.select("page_id", binding.same_address(other(5), F.array(F.col("url"), other(7)), F.col("url")).alias("same"))
+
+
+@query("select o_custkey, bool_and(o_orderstatus = 'F') as actual from orders group by o_custkey")
+def actual_sources(spark, d):
+    origin = F.when(F.col("o_orderstatus") == "F", "ACTUAL").otherwise("SYNTHETIC")
+    items = t(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(origin.alias("origin"))).alias("sources"))
+    return items.select("o_custkey", binding.all_actual(F.col("sources")).alias("actual"))
+
+
+@query("""select event_id, case when event_type not in (select distinct event_type from events where event_id % 2 = 0 and event_id < 100) then 'slot' else 'value' end as reason from events e
+  where not exists (select 1 from events o where o.event_id % 2 = 0 and o.event_id < 100 and o.event_type = e.event_type and o.user_id = e.user_id)""")
+def slot_ontology(spark, d):
+    rows = t(spark, d, "events").select("event_id", F.col("event_type").alias("slot"), F.col("user_id").alias("value"))
+    return binding.unknown_slots(rows, rows.where("event_id % 2 = 0 and event_id < 100")).select("event_id", "reason")
+
+
+@query("select n_regionkey as version, lower(substr(n_name, 1, 1)) as term_key, count(*) as definitions from nation group by all having count(*) > 1")
+def ambiguous_terms(spark, d):
+    return binding.ambiguous_terms(t(spark, d, "nation").select(F.col("n_regionkey").alias("version"), F.substring("n_name", 1, 1).alias("term")), ["version"])
+
+
+@query("""select l_orderkey, l_linenumber, o_orderpriority as old_text, p_brand as new_text, (l_linenumber = 7 or o_orderkey is not null) and (l_linenumber = 1 or p_partkey is not null) as bound
+  from lineitem left join orders on o_orderkey = case when l_linenumber <> 7 then l_orderkey end and o_orderkey % 5 <> 0
+  left join part on p_partkey = case when l_linenumber <> 1 then l_partkey end and p_partkey % 3 <> 0""")
+def resolved_changes(spark, d):
+    changes = t(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") != 7, F.col("l_orderkey")).alias("old_id"), F.when(F.col("l_linenumber") != 1, F.col("l_partkey")).alias("new_id")
+    )
+    old = t(spark, d, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("requirement_id"), F.col("o_orderpriority").alias("text"))
+    new = t(spark, d, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("requirement_id"), F.col("p_brand").alias("text"))
+    return binding.resolved_changes(changes, old, new).select("l_orderkey", "l_linenumber", "old_text", "new_text", "bound")
+
+
+@query("""select l_orderkey as item_id, l_suppkey as sha, case when s_suppkey is null then 'unknown document' when s_nationkey % 2 <> l_orderkey % 2 then 'other scope' end as problem
+  from lineitem left join supplier on s_suppkey = l_suppkey and s_suppkey % 4 <> 0""")
+def packet_items(spark, d):
+    items = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("item_id")).agg(F.collect_list("l_suppkey").alias("shas")).withColumn("scope", (F.col("item_id") % 2).cast("int"))
+    documents = t(spark, d, "supplier").where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("sha"), (F.col("s_nationkey") % 2).alias("scope"))
+    return binding.packet_items(items, documents)
+
+
+@query("""select l_orderkey as item_id, l_linenumber as vote, case when s_suppkey is null then 'unknown submission' when s_nationkey <> l_partkey % 25 then 'other annotator'
+  when count(*) over (partition by l_orderkey, l_suppkey) > 1 then 'repeated' end as problem from lineitem left join supplier on s_suppkey = l_suppkey and s_suppkey % 4 <> 0""")
+def bound_votes(spark, d):
+    votes = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("vote"), F.col("l_suppkey").alias("submission_sha"), (F.col("l_partkey") % 25).alias("annotator"))
+    submissions = t(spark, d, "supplier").where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("sha"), F.col("s_nationkey").alias("annotator"))
+    return binding.bound_votes(votes, submissions).select("item_id", "vote", "problem")
+
+
+@query("select event_id, event_type as value, sha256(event_type) as value_sha256, sha256(event_type || chr(31) || cast(user_id as string)) as evidence_sha256 from events")
+def observations(spark, d):
+    seen = binding.observation(F.col("event_type"), F.col("event_type"), F.col("user_id").cast("string"))
+    return t(spark, d, "events").select("event_id", seen.alias("o")).select("event_id", "o.*")
+
+
+@query("select l_orderkey, array_to_string(list_sort(list_distinct(list(l_returnflag || l_linestatus))), ',') as classes from lineitem group by l_orderkey")
+def change_kinds(spark, d):
+    rows = t(spark, d, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("classification"))
+    return binding.change_kinds(rows, ["l_orderkey"]).select("l_orderkey", F.array_join("classes", ",").alias("classes"))
+
+
+PAIRS = """(select l_orderkey, l_linenumber, case when l_linenumber % 3 <> 0 then l_partkey % 100 end as old_index, case when l_linenumber % 4 <> 0 then l_suppkey % 100 end as new_index,
+  case when l_linenumber % 3 <> 0 then 'o' || cast(l_linenumber as string) end as old_id, case when l_linenumber % 4 <> 0 then 'n' || cast(l_linenumber as string) end as new_id from lineitem)"""
+
+
+@query(f"""select l_orderkey, l_linenumber, cast(row_number() over (partition by l_orderkey order by least(coalesce(old_index, 10000), coalesce(new_index, 10000)), coalesce(old_id, ''), coalesce(new_id, '')) as integer) as place from {PAIRS}""")
+def pair_order(spark, d):
+    rows, line = t(spark, d, "lineitem"), F.col("l_linenumber")
+    side = lambda name, n, key: (F.when(line % n != 0, F.col(key) % 100).alias(f"{name}_index"), F.when(line % n != 0, F.concat(F.lit(name[0]), line.cast("string"))).alias(f"{name}_id"))
+    pairs = rows.select("l_orderkey", "l_linenumber", *side("old", 3, "l_partkey"), *side("new", 4, "l_suppkey"))
+    return binding.in_pair_order(pairs, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "place")
+
+
+@query("select n_regionkey, n_nationkey, cast(row_number() over (partition by n_regionkey order by lower(n_name), n_nationkey) as integer) as place from nation")
+def definition_order(spark, d):
+    rows = t(spark, d, "nation").select("n_regionkey", "n_nationkey", F.col("n_name").alias("term"), F.col("n_nationkey").alias("definition_id"))
+    return binding.in_definition_order(rows, ["n_regionkey"]).select("n_regionkey", "n_nationkey", "place")
+
+
+@query("select n_regionkey, 'NATION_' || substr(n_name, 1, 1) as relation, count(*) as n from nation group by all")
+def relation_counts(spark, d):
+    return binding.relation_counts(t(spark, d, "nation").select("n_regionkey", F.concat(F.lit("NATION_"), F.substring("n_name", 1, 1)).alias("relation")), "n_regionkey")
+
+
+@query("""select (select count(distinct o_custkey) from orders) as lineages, (select count(*) from orders) as nodes, (select count(*) from lineitem) as edges, (select count(distinct l_returnflag) from lineitem) as relations,
+  (select count(*) from nation) as definitions, (select count(*) from customer) as links, (select count(*) from region where r_regionkey < 0) as ambiguities""")
+def graph_summary(spark, d):
+    nodes, edges = t(spark, d, "orders").withColumnRenamed("o_custkey", "lineage_id"), t(spark, d, "lineitem").withColumnRenamed("l_returnflag", "relation")
+    return binding.graph_summary(nodes, edges, t(spark, d, "nation"), t(spark, d, "customer"), t(spark, d, "region").where("r_regionkey < 0"))
+
+
+METRICS = """select o_custkey % 50 as suite, count(*) filter (where o_orderkey % 3 = 0 and o_orderkey % 2 = 0) as hits, count(*) filter (where o_orderkey % 3 = 0) as expected, count(*) filter (where o_orderkey % 2 = 0) as found from orders group by 1"""
+
+
+@query(f"""select *, case when found = 0 then 1.0 else hits / found end as precision, case when expected = 0 then 1.0 else hits / expected end as recall,
+  case when (case when found = 0 then 1.0 else hits / found end) + (case when expected = 0 then 1.0 else hits / expected end) = 0 then 0.0
+  else 2 * (case when found = 0 then 1.0 else hits / found end) * (case when expected = 0 then 1.0 else hits / expected end) / ((case when found = 0 then 1.0 else hits / found end) + (case when expected = 0 then 1.0 else hits / expected end)) end as f1 from ({METRICS})""")
+def alignment_metrics(spark, d):
+    pairs = t(spark, d, "orders").select((F.col("o_custkey") % 50).alias("suite"), (F.col("o_orderkey") % 3 == 0).alias("expected"), (F.col("o_orderkey") % 2 == 0).alias("found"))
+    return binding.alignment_metrics(pairs, "suite")
+
+
+@query(f"""select suite, '{{"expected":' || expected || ',"found":' || found || ',"hits":' || hits || '}}' as json from ({METRICS})""")
+def metrics_json(spark, d):
+    return binding.metrics_json(alignment_metrics(spark, d).select("suite", "hits", "expected", "found"), ["suite"])
