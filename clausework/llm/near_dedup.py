@@ -233,7 +233,7 @@ def shown(count: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shown_tokens(usual: np.ndarray, least: float):
-    """Batch function: a row for each shingle that a text shows, with its rank by rarity, and the text's histogram at rank 0 (nulls elsewhere)."""
+    """Batch function: a row for each shingle that a text shows, with its rank by rarity and the shingle before it, and the text's histogram at rank 0 (nulls elsewhere)."""
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, grams, at in gram_batches(batches):
@@ -243,19 +243,21 @@ def shown_tokens(usual: np.ndarray, least: float):
             rank = np.arange(len(x)) - at[owner]
             few, many = shown(count, least)
             keep = np.flatnonzero(rank < many[owner])
-            doc, rank, token = owner[keep], rank[keep], x[order][keep]
+            ordered = x[order]
+            doc, rank, token, before = owner[keep], rank[keep], ordered[keep], ordered[keep - 1]
             bins = histograms(grams, at)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("node").take(pa.array(doc)),
                     b.column("root").take(pa.array(doc)),
                     pa.array(token.view(np.int64)),
+                    pa.array(before.view(np.int64), mask=rank == 0),
                     pa.array(count[doc].astype(np.int32)),
                     pa.array(rank.astype(np.int32)),
                     pa.array(rank < few[doc]),
                     pa.array([bins[d] if r == 0 else None for d, r in zip(doc.tolist(), rank.tolist(), strict=True)], pa.binary()),
                 ],
-                names=["node", "root", "token", "n", "rank", "few", "bins"],
+                names=["node", "root", "token", "before", "n", "rank", "few", "bins"],
             )
 
     return show
@@ -397,7 +399,7 @@ def text_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     usual = np.zeros(1 << SLOT_BITS, np.int64)
     for slot, number in open_.mapInArrow(count_slots, "slot long, number long").groupBy("slot").agg(F.sum("number")).collect():
         usual[slot] = number
-    tokens = stage(open_.mapInArrow(shown_tokens(usual, least), "node long, root long, token long, n int, rank int, few boolean, bins binary"), "tokens")
+    tokens = stage(open_.mapInArrow(shown_tokens(usual, least), "node long, root long, token long, before long, n int, rank int, few boolean, bins binary"), "tokens")
     bins = stage(tokens.where("rank = 0").select("node", "bins"), "bins")
 
     def enough(x: str, y: str):
@@ -424,6 +426,8 @@ def text_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     known = stage(tokens.drop("bins", "root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "known")
     x, y = known.alias("x"), known.alias("y")
     fits = (F.col("x.token") == F.col("y.token")) & F.col("x.few") & (F.col("x.root") != F.col("y.root")) & enough("x", "y")
+    # Where the shingles before are the same too, the pair has met there.
+    fits &= F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
     roots = linked(x.join(y, fits & (F.struct("x.n", "x.node") < F.struct("y.n", "y.node"))).select(*both("x", "y")).distinct(), roots)
     classes = firsts.select("copy", "none", "doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keeper = classes.groupBy("root").agg(F.min(F.struct("none", "doc_id", "copy")).alias("keeper"))
