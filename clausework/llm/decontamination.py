@@ -37,9 +37,11 @@ STEPS = max(steps for _, steps, _, _ in LEVELS)
 WORD = 64
 BLOCK, PIECE = 1 << 22, 1 << 20
 #: Pieces that are held against their places in step.
-CELLS = 1 << 13
+CELLS = 1 << 15
 #: After so many sampled signs, windows are held against the items' windows, and the size of those tables.
-LOOKS, TABLE_BITS = (4, 6, 8, 11), 18
+LOOKS, TABLE_BITS = (5, 7, 9, 12), 18
+#: A walk's first steps, so many, read as many signs of a window at most: windows that share these signs take those steps once. 8 at most.
+HEAD = 6
 
 
 def squeezed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,18 +99,37 @@ def edit_minimum(text: np.ndarray, a: np.ndarray, b: np.ndarray, table: np.ndarr
     return out
 
 
+class Windows:
+    """Places of windows, and for each the number of its first HEAD signs among the different ones, which start at `first`. text has 8 spare signs at its end."""
+
+    def __init__(self, text: np.ndarray, at: np.ndarray):
+        words = np.ndarray(shape=(len(text) - 7,), dtype="<u8", buffer=np.ascontiguousarray(text), strides=(1,))
+        head = words[at] & np.uint64((1 << 8 * HEAD) - 1)
+        order = np.argsort(head)
+        head = head[order]
+        new = np.ones(len(at), bool)
+        new[1:] = head[1:] != head[:-1]
+        self.at, self.first = at.astype(np.int64), at[order[new]].astype(np.int64)
+        self.head = np.empty(len(at), np.int64)
+        self.head[order] = np.cumsum(new) - 1
+
+
 class Walk:
     """One repetition: random bits, and the sampled steps."""
 
     def __init__(self, seed: int, steps: int, sampled: int):
         rng = np.random.Generator(np.random.PCG64([6, seed, steps]))
-        self.bits = rng.integers(0, 2, (steps, 256), dtype=np.uint8)
+        self.bits = rng.integers(0, 2, (steps, 256), dtype=np.uint8).astype(np.int64)
         self.sampled = set(rng.choice(steps, sampled, replace=False).tolist())
 
-    def keys(self, text: np.ndarray, at: np.ndarray, tables: dict[int, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    def keys(self, text: np.ndarray, windows: Windows, tables: dict[int, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
         """Places whose samples may be an item's (all, without tables), their keys, and the keys at the looks. text has spare zeros at its end."""
-        pos, key, number, seen = at.astype(np.int64), np.full(len(at), 7, np.uint64), 0, {}
+        at, head, alive = windows.first, True, np.ones(len(windows.first), bool)
+        pos, key, number, seen = at.copy(), np.full(len(at), 7, np.uint64), 0, {}
         for step in range(max(self.sampled) + 1):
+            if step == HEAD:
+                at, pos, key = self.of_windows(windows, alive, pos, key)
+                head = False
             sign = text.take(pos)
             if step in self.sampled:
                 key *= np.uint64(0x9E3779B97F4A7C15)
@@ -118,12 +139,25 @@ class Walk:
                     look = ((key ^ key >> np.uint64(29)) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
                     if tables is None:
                         seen[number] = look
+                    elif head:
+                        alive &= tables[number].take(look)
                     else:
                         keep = np.flatnonzero(tables[number].take(look))
                         at, pos, key, sign = at[keep], pos[keep], key[keep], sign[keep]
             pos += self.bits[step].take(sign)
+        if head:
+            at, pos, key = self.of_windows(windows, alive, pos, key)
         return at, mix64(key), seen
 
+    @staticmethod
+    def of_windows(windows: Windows, alive: np.ndarray, pos: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, positions and keys of the windows whose heads are alive, from those of the heads."""
+        at, which = windows.at, windows.head
+        if not alive.all():
+            keep = alive.take(which)
+            at, which = at[keep], which[keep]
+        return at, at + (pos - windows.first).take(which), key.take(which)
+
 
 class Items:
     """A block of the benchmark with its windows' keys."""
@@ -174,14 +208,14 @@ class Items:
         return near
 
     def level(self, walk: Walk, chosen: list[int], steps: int) -> tuple:
-        joined = np.frombuffer(b"".join(self.text[k] + b" " for k in chosen) + bytes(steps), np.uint8)
+        joined = np.frombuffer(b"".join(self.text[k] + b" " for k in chosen) + bytes(steps + 8), np.uint8)
         sizes = np.array([len(self.text[k]) + 1 for k in chosen])
         first = np.cumsum(sizes) - sizes
         at = word_starts(joined[: sizes.sum()], np.append(first, sizes.sum()))
         item = np.searchsorted(first, at, side="right") - 1
         room = first[item] + sizes[item] - at > steps // 2
         at, item = at[room | (at == first[item])], item[room | (at == first[item])]
-        _, keys, looks = walk.keys(joined, at)
+        _, keys, looks = walk.keys(joined, Windows(joined, at))
         tables = {}
         for number, look in looks.items():
             tables[number] = np.zeros(1 << TABLE_BITS, bool)
@@ -193,9 +227,9 @@ class Items:
 
     def candidates(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, place of the item's start in the text) that some repetition proposes."""
-        items, places = [], []
+        items, places, windows = [], [], Windows(text, starts)
         for walk, tables, keys, owner, offset in self.levels:
-            at, found, _ = walk.keys(text, starts, tables)
+            at, found, _ = walk.keys(text, windows, tables)
             lo, hi = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
             n = hi - lo
             which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
@@ -232,7 +266,7 @@ class Items:
         """(text, item id, edit distance) of all items found in the texts."""
         text, off = squeezed(data, offsets)
         starts = word_starts(text, off)
-        item, place = self.candidates(np.append(text, np.zeros(STEPS + 1, np.uint8)), starts)
+        item, place = self.candidates(np.append(text, np.zeros(STEPS + 8, np.uint8)), starts)
         if not len(item):
             return []
         return self.verified(text, off, item, place)

@@ -144,6 +144,27 @@ def test_semiglobal_distance():
             assert items.distance(k, text) == brute_distance(items.text[k], text)
 
 
+def test_walks_share_their_heads_but_not_their_keys():
+    rng = random.Random(8)
+    text = np.frombuffer(" ".join(rng.choice(["a", "ab", "abc", "the", "then", "there"]) for _ in range(400)).encode() + bytes(60), np.uint8)
+    at = decontamination.word_starts(text[:-60], np.array([0, len(text) - 60]))
+    windows = decontamination.Windows(text, at)
+    assert len(windows.first) < len(at)
+    for steps, sampled in ((5, 3), (10, 5), (28, 12)):
+        walk = decontamination.Walk(1, steps, sampled)
+        samples = []
+        for p in at.tolist():
+            seen = []
+            for step in range(max(walk.sampled) + 1):
+                if step in walk.sampled:
+                    seen.append(int(text[p]))
+                p += int(walk.bits[step][text[p]])
+            samples.append(tuple(seen))
+        places, keys, _ = walk.keys(text, windows)
+        assert places.tolist() == at.tolist()
+        assert len(set(zip(samples, keys.tolist(), strict=True))) == len(set(samples)) == len(set(keys.tolist()))
+
+
 def test_decontamination_recall_and_precision(spark):
     rng = random.Random(4)
     items = [(i, prose(rng, 30)) for i in range(12)] + [(99, "short one here"), (100, ""), (101, None)]
