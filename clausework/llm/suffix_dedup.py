@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clausework.llm.common import mix64, stage, table, utf8
+from clausework.llm.common import emptied, mix64, stage, table, utf8
 from clausework.llm.near_dedup import pieces_of
 
 LENGTH, GRAM = 50, 16
@@ -181,7 +181,7 @@ def record_batches(buckets: int):
 
 
 def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+    return np.concatenate([np.zeros(0, np.uint8), *[utf8(c)[0] for c in column.chunks]]).view(kind)
 
 
 def first_of_runs(*keys: np.ndarray) -> np.ndarray:
@@ -222,9 +222,10 @@ def matched(blocks: int):
             out = [(k, b, dd, p, w, g if k else b"") for k, b, dd, p, w, g in out]
         return pa.Table.from_batches([batch(out, FOUND)])
 
-    return run
+    return emptied(run)
 
 
+@emptied
 def by_document(rows: pa.Table) -> pa.Table:
     """The rows of a block as one row for each document."""
     doc, place, span = (joined(rows.column(c), np.int64) for c in ("doc", "place", "span"))
@@ -310,23 +311,25 @@ def resolved(blocks: int):
     def run(rows: pa.Table) -> pa.Table:
         gram, doc, place, span = (joined(rows.column(c), k) for c, k in (("gram", np.uint64), ("doc", np.int64), ("place", np.int64), ("span", np.int64)))
         near = joined(rows.column("bytes"), np.uint8).reshape(len(gram), SPAN + 4)
-        # A few grams at a time: only windows of one gram are compared.
+        # A few grams at a time: only windows of one gram are compared, and only theirs are copied.
         order = np.argsort(gram, kind="stable")
-        gram, doc, place, span, near = gram[order], doc[order], place[order], span[order], near[order]
-        lead = np.append(np.flatnonzero(first_of_runs(gram)), len(gram))
-        hit, lo = np.zeros((len(gram), REACH + 1), bool), 0
+        lead = np.append(np.flatnonzero(first_of_runs(gram[order])), len(gram))
+        hits, lo = [], 0
         while lo < len(gram):
             hi = int(lead[min(np.searchsorted(lead, lo + SORTED), len(lead) - 1)])
-            hit[lo:hi] = sorted_windows(gram[lo:hi], doc[lo:hi], place[lo:hi], near[lo:hi])
+            some = order[lo:hi]
+            hit = sorted_windows(gram[some], doc[some], place[some], near[some])
+            edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            row, near_end = np.nonzero(edge == 1)
+            far_end = np.nonzero(edge == -1)[1] - 1
+            row = some[row]
+            hits.append((doc[row], (place[row] >> 12) << 12 | far_end << 6 | near_end, span[row]))  # keeps the variant
             lo = hi
-        edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        row, near_end = np.nonzero(edge == 1)
-        far_end = np.nonzero(edge == -1)[1] - 1
-        place = (place[row] >> 12) << 12 | far_end << 6 | near_end  # keeps the variant
-        out = [(0, k, *cols, b"") for k, cols in dealt(block_of(doc[row], blocks), [doc[row], place, span[row]])]
+        found = [np.concatenate(x) for x in zip(*hits, strict=True)] if hits else [np.zeros(0, np.int64)] * 3
+        out = [(0, k, *cols, b"") for k, cols in dealt(block_of(found[0], blocks), found)]
         return pa.Table.from_batches([batch(out, FOUND)])
 
-    return run
+    return emptied(run)
 
 
 def union(place: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
