@@ -8,6 +8,7 @@ import math
 import os
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,20 +66,23 @@ def strict_loads(text: str | bytes):
 def strict_problem(column):
     """Column: why a JSON text is refused; null if it is sound."""
 
-    @F.udf("string")
-    def one(text):
+    def problem(text: str | None) -> str | None:
         try:
             strict_loads(text or "")
         except (StrictError, RecursionError) as e:
             return str(e) or "too deep"
         return None
 
-    return one(column)
+    @F.arrow_udf("string")
+    def problems(texts: pa.Array) -> pa.Array:
+        return pa.array([problem(t) for t in texts.to_pylist()], pa.string())
+
+    return problems(column)
 
 
 def write_files(files: dict[str, bytes]) -> None:
-    """Several files, all or none: written beside their places, then moved; what was there comes back if a move fails."""
-    staged, kept = {}, {}
+    """Several files, all or none: written beside their places, then moved; if a move fails, what was there comes back and what was not goes."""
+    staged, kept, fresh = {}, {}, []
     paths = [os.path.realpath(p) for p in files]
     if len(set(paths)) != len(paths) or any(a != b and b.startswith(a + os.sep) for a in paths for b in paths):
         raise ValueError("outputs collide")
@@ -96,8 +100,13 @@ def write_files(files: dict[str, bytes]) -> None:
                     raise ValueError(f"not a regular file: {path}")
                 with open(path, "rb") as f:
                     kept[path] = f.read()
-            os.replace(staged.pop(path), path)
+            os.replace(staged[path], path)
+            del staged[path]
+            if path not in kept:
+                fresh.append(path)
     except BaseException:
+        for path in fresh:
+            os.unlink(path)
         for path, data in kept.items():
             with open(path, "wb") as f:
                 f.write(data)
