@@ -19,9 +19,10 @@ BATCH_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set what the operators rely on: small Arrow batches, and shuffle files that go when their query ends."""
+    """Set what the operators rely on: small Arrow batches, shuffle files that go when their query ends, and plain reads, as vectored ones may keep buffers of whole column chunks outside the heap."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
     return spark
 
 
